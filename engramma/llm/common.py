@@ -66,9 +66,11 @@ def join_spread(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     cols = [c for c in groups.columns if c != key]
     is_hot = F.col(size) * HOT_SHARE > F.lit(total)
     hot = groups.where(is_hot).select(F.col(key).alias("_hk"), F.struct(*cols).alias("_hot"))
-    cold = groups.where(~is_hot).select(F.col(key).alias("_ck"), F.lit(0).alias("_cs"), F.struct(*cols).alias("_cold"))
+    # Zero, but not a literal: of a constant Catalyst would make a filter, and deal the rows by the key alone.
+    zero = F.pmod(F.xxhash64(key), F.lit(1))
+    cold = groups.where(~is_hot).select(F.col(key).alias("_ck"), zero.alias("_cs"), F.struct(*cols).alias("_cold"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    out = out.withColumn("_s", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), 0).otherwise((F.pmod(F.xxhash64(by), F.lit(1 << 20)) + 1).cast("int")))
+    out = out.withColumn("_s", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), 0).otherwise((F.pmod(F.xxhash64(by), F.lit(1 << 20)) + 1).cast("long")))
     out = out.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
     got = F.coalesce("_hot", "_cold")
     return out.select(*rows.columns, *[got[c].alias(c) for c in cols])
