@@ -1,2 +1,312 @@
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the memory engine, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engramma.functions import codec, scores
+from engramma.functions.symbols import normalised
+from engramma.operators import catalog, cues, episodes, feedback, recall
+from engramma.sources import tables
+from engramma.sources.stage import staged
+
+SOURCES = (0, 1, 2, 3, 5, 8, 13, 21)
+
+
+def _index(spark: SparkSession, kv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    index = staged(cues.episode_cues(kv), "cues", "kind", "a", "b")
+    return index, cues.cue_counts(index)
+
+
+def _sources(spark: SparkSession, ids=SOURCES) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "src long")
+
+
+def _customers(spark: SparkSession, sf_dir: str):
+    index, counts = _index(spark, tables.customer_kv(spark, sf_dir))
+    return index, counts, feedback.fold(tables.customer_samples(spark, sf_dir))
+
+
+def _no_edges(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "from_seq long, to_seq long, history_bits long, sample_count long")
+
+
+def recall_topk(spark, sf_dir):
+    return recall.recall(*_customers(spark, sf_dir), _sources(spark))
+
+
+def recall_structural(spark, sf_dir):
+    index, counts, _ = _customers(spark, sf_dir)
+    return recall.recall(index, counts, _no_edges(spark), _sources(spark))
+
+
+def recall_learned(spark, sf_dir):
+    index, counts, edges = _customers(spark, sf_dir)
+    return recall.recall(index.limit(0), counts, edges, _sources(spark))
+
+
+def recall_limit_sweep(spark, sf_dir):
+    best = staged(recall.ranked(recall.scored(*_customers(spark, sf_dir), _sources(spark)), 25), "best")
+    parts = [best.where(F.col("rk") <= k).select(F.lit(k).cast("long").alias("k"), "src", "tgt", "ppm", "rk") for k in (0, 1, 3, 25)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def recall_all_sources(spark, sf_dir):
+    index, counts, edges = _customers(spark, sf_dir)
+    return recall.recall(index, counts, edges, counts.select(F.col("seq").alias("src")), 3)
+
+
+def recall_all_pairs_score(spark, sf_dir):
+    index, counts = _index(spark, tables.part_kv(spark, sf_dir))
+    return recall.scored(index, counts, _no_edges(spark), _sources(spark)).select("src", "tgt", "ppm")
+
+
+def recall_decoded(spark, sf_dir):
+    hits = recall_topk(spark, sf_dir)
+    text = tables.customer_kv(spark, sf_dir).groupBy("seq", "key").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("value_text"))
+    return hits.join(text, hits["tgt"] == text["seq"]).select("src", "rk", "tgt", "ppm", F.col("key").alias("attribute"), "value_text")
+
+
+def episode_cues(spark, sf_dir):
+    return cues.episode_cues(tables.part_kv(spark, sf_dir)).select("seq", F.col("kind").cast("long").alias("kind"), "a", "b")
+
+
+def cue_counts(spark, sf_dir):
+    return cues.cue_counts(cues.episode_cues(tables.part_kv(spark, sf_dir)))
+
+
+def cue_postings(spark, sf_dir):
+    return cues.cue_postings(cues.episode_cues(tables.part_kv(spark, sf_dir))).withColumn("kind", F.col("kind").cast("long"))
+
+
+def _order_kv(spark, sf_dir):
+    li = tables.table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_orderkey").cast("long").alias("seq"), F.col("l_suppkey").cast("long").alias("key"), F.col("l_partkey").cast("long").alias("value"))
+
+
+def episode_canonical(spark, sf_dir):
+    rows = episodes.canonical_episodes(_order_kv(spark, sf_dir)).select("seq", F.posexplode("attributes").alias("place", "a"))
+    return rows.select("seq", F.col("place").cast("long").alias("place"), "a.key", F.array_join(F.col("a.values").cast("array<string>"), ",").alias("value_ids"))
+
+
+def insert_sequences(spark, sf_dir):
+    turns = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role")
+    return episodes.appended(turns, 1000, "conv_id", "turn", "role")
+
+
+def seq_dense(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("seq"))
+    bad = episodes.sequence_gaps(o, o.count())
+    return bad.agg(F.count("*").alias("violations"))
+
+
+def dangling_refs(spark, sf_dir):
+    li, p = (tables.table(spark, sf_dir, t) for t in ("lineitem", "part"))
+    return episodes.dangling(li.select(F.col("l_partkey").cast("long").alias("v")), "v", p.where("p_size > 5").select(F.col("p_partkey").cast("long").alias("seq")))
+
+
+def _folded(spark, sf_dir):
+    return feedback.fold(tables.samples(spark, sf_dir, 10).where("x is not null"))
+
+
+def feedback_fold(spark, sf_dir):
+    return _folded(spark, sf_dir)
+
+
+def feedback_fold_with_resets(spark, sf_dir):
+    log = tables.samples(spark, sf_dir, 10)
+    reset = F.col("x").isNull()
+    log = log.withColumn("set_bits", F.when(reset, F.lit(5).cast("long"))).withColumn("set_count", F.when(reset, F.lit(3).cast("long")))
+    return feedback.fold_with_resets(log)
+
+
+def feedback_edges_scan(spark, sf_dir):
+    edges = feedback.fold(tables.customer_samples(spark, sf_dir))
+    return edges.orderBy("from_seq", "to_seq")
+
+
+def feedback_point_lookup(spark, sf_dir):
+    return feedback.fold(tables.customer_samples(spark, sf_dir).where("from_seq = 7"))
+
+
+def feedback_projection(spark, sf_dir):
+    return _folded(spark, sf_dir).select("from_seq", "to_seq", scores.learned_score("history_bits", "sample_count").alias("learned"))
+
+
+def trace_counts(spark, sf_dir):
+    bits, n = F.col("history_bits"), F.col("sample_count")
+    return _folded(spark, sf_dir).select("from_seq", "to_seq", scores.helpful_count(bits).alias("helpful"), scores.unhelpful_count(bits, n).alias("unhelpful"))
+
+
+def trace_validity(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") % 70).cast("long").alias("bits"), (F.col("event_id") % 19).cast("long").alias("samples"))
+    return e.withColumn("valid", scores.trace_is_valid(F.col("bits"), F.col("samples")))
+
+
+def feedback_targets_set(spark, sf_dir):
+    e = tables.table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("source"), F.to_date("ts").alias("d"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    events = e.groupBy("source", "d").agg(F.collect_list("k").alias("targets")).select(F.concat_ws("/", F.col("source").cast("string"), F.col("d").cast("string")).alias("event_id"), "source", "targets", F.lit(True).alias("helpful"))
+    good, _ = feedback.event_targets(events, 40)
+    return good.select("event_id", "from_seq", "to_seq")
+
+
+def feedback_reconcile(spark, sf_dir):
+    s = tables.samples(spark, sf_dir).where("x is not null")
+    return feedback.reconciled(feedback.fold(s.where("event_id % 5 <> 0")), feedback.fold(s.where("event_id % 7 <> 0")))
+
+
+def symbol_normalize(spark, sf_dir):
+    u = tables.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("pos"), F.concat(F.lit("  "), F.upper("url"), F.lit("\t \n"), F.col("url")).alias("text"))
+    good, _ = catalog.normalised_batch(u)
+    return good
+
+
+def symbol_reject(spark, sf_dir):
+    d = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("pos"), "text")
+    _, bad = catalog.normalised_batch(d)
+    return bad
+
+
+def _name_batch(spark, sf_dir):
+    p = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("k"), F.posexplode(F.split("p_name", " ")).alias("i", "text"))
+    return p.select((F.col("k") * 100 + F.col("i")).alias("pos"), "text").where("text <> ''")
+
+
+def _interned(spark, sf_dir):
+    good, _ = catalog.normalised_batch(_name_batch(spark, sf_dir))
+    good = staged(good, "batch")
+    _, first = catalog.interned(good.where("pos < 5000"), spark.createDataFrame([], "id long, value string"), 0)
+    ids, new = catalog.interned(good, first, first.count())
+    return ids, first.unionByName(new)
+
+
+def symbol_intern(spark, sf_dir):
+    return _interned(spark, sf_dir)[0]
+
+
+def symbol_resolve(spark, sf_dir):
+    ids, symbols = _interned(spark, sf_dir)
+    return catalog.resolved(ids.unionByName(spark.createDataFrame([(-1, 1 << 40)], "pos long, id long")), symbols)
+
+
+def catalog_dense(spark, sf_dir):
+    symbols = _interned(spark, sf_dir)[1]
+    return catalog.invalid_symbols(symbols, symbols.count()).agg(F.count("*").alias("violations"))
+
+
+def codec_roundtrip(spark, sf_dir):
+    kv = _order_kv(spark, sf_dir)
+    e = episodes.canonical_episodes(kv).withColumn("payload", codec.encoded(F.col("seq"), F.col("attributes")))
+    d = e.withColumn("_d", codec.decoded(F.col("payload")))
+    same = F.col("_d.timestamp_ms").eqNullSafe(F.col("seq")) & (F.col("_d.attributes") == F.col("attributes"))
+    return d.select("seq", F.octet_length("payload").cast("long").alias("bytes"), F.hex(F.substring("payload", 1, 9)).alias("head"), same.alias("same"))
+
+
+# --- SQL of the same queries -------------------------------------------------------------
+
+_CUSTOMER = """
+kv AS (
+  SELECT DISTINCT * FROM (
+    SELECT c_custkey::BIGINT AS seq, 'segment' AS key, lower(c_mktsegment) AS value FROM customer
+    UNION ALL SELECT c_custkey, 'nation', lower(n_name) FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT c_custkey, 'region', lower(r_name) FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT o_custkey, 'status', lower(o_orderstatus) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+    UNION ALL SELECT o_custkey, 'priority', lower(o_orderpriority) FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)
+  ) WHERE value IS NOT NULL
+)"""
+_PART = """
+kv AS (
+  SELECT DISTINCT * FROM (
+    SELECT p_partkey::BIGINT AS seq, 'brand' AS key, lower(p_brand) AS value FROM part
+    UNION ALL SELECT p_partkey, 'type', lower(p_type) FROM part
+    UNION ALL SELECT p_partkey, 'size', lower(p_size::VARCHAR) FROM part
+    UNION ALL SELECT p_partkey, 'name', w FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> ''
+  ) WHERE value IS NOT NULL
+)"""
+_CUES = """
+cues AS (
+  SELECT seq, 0 AS kind, key AS a, '' AS b FROM kv UNION SELECT seq, 1, value, '' FROM kv UNION SELECT seq, 2, key, value FROM kv
+), counts AS (SELECT seq, count(*) AS n FROM cues GROUP BY seq)"""
+_SAMPLES = """
+s0 AS (
+  SELECT event_id::BIGINT AS event_id, user_id::BIGINT {m} AS from_seq, json_extract_string(props, '$.k')::BIGINT {m} AS to_seq,
+         CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'signup' THEN NULL ELSE 1 END AS x
+  FROM events WHERE event_type IN ('purchase', 'click', 'error', 'signup')
+), s AS (SELECT * FROM s0 WHERE from_seq <> to_seq {w})"""
+_FOLD = """
+r AS (SELECT *, row_number() OVER (PARTITION BY from_seq, to_seq ORDER BY event_id DESC) AS rn FROM s WHERE x IS NOT NULL),
+edges AS (
+  SELECT from_seq, to_seq, sum(x * (1 << (rn - 1)::INT))::BIGINT AS history_bits, count(*) AS sample_count FROM r WHERE rn <= 16 GROUP BY from_seq, to_seq
+)"""
+_ENDS = "AND from_seq IN (SELECT c_custkey FROM customer) AND to_seq IN (SELECT c_custkey FROM customer)"
+_CUSTOMER_SAMPLES = _SAMPLES.format(m="", w=_ENDS)
+_TEN_SAMPLES = _SAMPLES.format(m="% 10", w="")
+_LEARNED = "((400000 * (2 * bit_count(history_bits)::BIGINT - sample_count) * 23) // (16 * (sample_count + 7)))::BIGINT"
+_NONE = "edges AS (SELECT 0::BIGINT AS from_seq, 0::BIGINT AS to_seq, 0::BIGINT AS history_bits, 1::BIGINT AS sample_count WHERE false)"
+
+
+def _score(sources: str, structural: bool = True) -> str:
+    return f"""
+shared AS (
+  SELECT x.seq AS src, y.seq AS tgt, count(*) AS n FROM cues x JOIN cues y ON x.kind = y.kind AND x.a = y.a AND x.b = y.b
+  WHERE x.seq IN ({sources}) AND x.seq <> y.seq {"" if structural else "AND false"} GROUP BY 1, 2
+), st AS (
+  SELECT src, tgt, (shared.n * 400000) // (p.n + q.n - shared.n) AS v FROM shared JOIN counts p ON p.seq = src JOIN counts q ON q.seq = tgt
+), le AS (SELECT from_seq AS src, to_seq AS tgt, {_LEARNED} AS v FROM edges WHERE from_seq IN ({sources}) AND from_seq <> to_seq),
+sc AS (
+  SELECT src, tgt, least(greatest(coalesce(st.v, 0) + coalesce(le.v, 0), 0), 800000)::BIGINT AS ppm FROM st FULL JOIN le USING (src, tgt)
+), hits AS (SELECT src, tgt, ppm, row_number() OVER (PARTITION BY src ORDER BY ppm DESC, tgt) AS rk FROM sc WHERE ppm > 0)"""
+
+
+_EIGHT = ", ".join(map(str, SOURCES))
+_BASE = f"WITH {_CUSTOMER}, {_CUES}, {_CUSTOMER_SAMPLES}, {_FOLD}, {_score(_EIGHT)}"
+_NORM = r"trim(regexp_replace(lower({}), '[\t\n\x0b\x0c\r ]+', ' ', 'g'))"
+_NAMES = """
+n0 AS (SELECT p_partkey::BIGINT AS k, string_split(p_name, ' ') AS w FROM part), n1 AS (SELECT k, unnest(range(len(w))) AS i, lower(unnest(w)) AS value FROM n0),
+batch AS (SELECT k * 100 + i AS pos, value FROM n1 WHERE value <> ''),
+firsts AS (SELECT value, min(pos) AS f FROM batch GROUP BY value), symbols AS (SELECT value, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS id FROM firsts)"""
+
+ORACLES = {
+    "recall_topk": f"{_BASE} SELECT src, tgt, ppm, rk FROM hits WHERE rk <= 10",
+    "recall_structural": f"WITH {_CUSTOMER}, {_CUES}, {_NONE}, {_score(_EIGHT)} SELECT src, tgt, ppm, rk FROM hits WHERE rk <= 10",
+    "recall_learned": f"WITH {_CUSTOMER}, {_CUES}, {_CUSTOMER_SAMPLES}, {_FOLD}, {_score(_EIGHT, False)} SELECT src, tgt, ppm, rk FROM hits WHERE rk <= 10",
+    "recall_limit_sweep": f"{_BASE} SELECT k::BIGINT AS k, src, tgt, ppm, rk FROM hits JOIN (VALUES (0), (1), (3), (25)) t(k) ON rk <= k",
+    "recall_all_sources": f"WITH {_CUSTOMER}, {_CUES}, {_CUSTOMER_SAMPLES}, {_FOLD}, {_score('SELECT seq FROM counts')} SELECT src, tgt, ppm, rk FROM hits WHERE rk <= 3",
+    "recall_all_pairs_score": f"WITH {_PART}, {_CUES}, {_NONE}, {_score(_EIGHT)} SELECT src, tgt, ppm FROM hits",
+    "recall_decoded": f"{_BASE}, t AS (SELECT seq, key, string_agg(value, ',' ORDER BY value) AS value_text FROM kv GROUP BY seq, key) SELECT src, rk, tgt, ppm, key AS attribute, value_text FROM hits JOIN t ON seq = tgt WHERE rk <= 10",
+    "episode_cues": f"WITH {_PART}, {_CUES} SELECT seq, kind::BIGINT AS kind, a, b FROM cues",
+    "cue_counts": f"WITH {_PART}, {_CUES} SELECT seq, n FROM counts",
+    "cue_postings": f"WITH {_PART}, {_CUES} SELECT kind::BIGINT AS kind, a, b, count(*) AS episodes, min(seq) AS first_seq, max(seq) AS last_seq FROM cues GROUP BY kind, a, b",
+    "episode_canonical": "WITH g AS (SELECT l_orderkey::BIGINT AS seq, l_suppkey::BIGINT AS key, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS x, list_sort(list(DISTINCT l_partkey::BIGINT)) AS v FROM lineitem GROUP BY 1, 2) SELECT seq, row_number() OVER (PARTITION BY seq ORDER BY key) - 1 AS place, key, array_to_string(v, ',') AS value_ids FROM g",
+    "insert_sequences": "SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, role, row_number() OVER (ORDER BY conv_id, turn, role) - 1 + 1000 AS seq FROM conversations",
+    "seq_dense": "WITH o AS (SELECT o_orderkey AS seq FROM orders) SELECT count(*) AS violations FROM (SELECT seq, count(*) AS n FROM o GROUP BY seq) WHERE n > 1 OR seq < 0 OR seq >= (SELECT count(*) FROM o) OR seq IS NULL",
+    "dangling_refs": "SELECT DISTINCT l_partkey::BIGINT AS value FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)",
+    "feedback_fold": f"WITH {_TEN_SAMPLES}, {_FOLD} SELECT * FROM edges",
+    "feedback_fold_with_resets": f"""WITH {_TEN_SAMPLES},
+last AS (SELECT from_seq, to_seq, max(event_id) FILTER (WHERE x IS NULL) AS e FROM s GROUP BY 1, 2),
+r AS (SELECT s.*, e, row_number() OVER (PARTITION BY s.from_seq, s.to_seq ORDER BY event_id DESC) AS rn FROM s JOIN last ON s.from_seq = last.from_seq AND s.to_seq = last.to_seq WHERE x IS NOT NULL AND (e IS NULL OR event_id > e)),
+n AS (SELECT from_seq, to_seq, sum(CASE WHEN rn <= 16 THEN x * (1 << least(rn - 1, 16)::INT) ELSE 0 END)::BIGINT AS b, least(count(*), 16) AS k FROM r GROUP BY 1, 2)
+SELECT l.from_seq, l.to_seq, (((CASE WHEN e IS NULL THEN 0 ELSE 5 END << coalesce(k, 0)::INT) | coalesce(b, 0)) & 65535)::BIGINT AS history_bits,
+  least(CASE WHEN e IS NULL THEN 0 ELSE 3 END + coalesce(k, 0), 16)::BIGINT AS sample_count
+FROM last l LEFT JOIN n ON l.from_seq = n.from_seq AND l.to_seq = n.to_seq""",
+    "feedback_edges_scan": f"WITH {_CUSTOMER_SAMPLES}, {_FOLD} SELECT * FROM edges",
+    "feedback_point_lookup": f"WITH {_CUSTOMER_SAMPLES}, {_FOLD} SELECT * FROM edges WHERE from_seq = 7",
+    "feedback_projection": f"WITH {_TEN_SAMPLES}, {_FOLD} SELECT from_seq, to_seq, {_LEARNED} AS learned FROM edges",
+    "trace_counts": f"WITH {_TEN_SAMPLES}, {_FOLD} SELECT from_seq, to_seq, bit_count(history_bits)::BIGINT AS helpful, sample_count - bit_count(history_bits)::BIGINT AS unhelpful FROM edges",
+    "trace_validity": "WITH e AS (SELECT event_id::BIGINT AS event_id, (event_id % 70)::BIGINT AS bits, (event_id % 19)::BIGINT AS samples FROM events) SELECT *, samples BETWEEN 1 AND 16 AND bits < (1::BIGINT << samples::INT) AS valid FROM e",
+    "feedback_targets_set": "WITH e AS (SELECT user_id::BIGINT AS source, ts::DATE AS d, json_extract_string(props, '$.k')::BIGINT AS k FROM events), ok AS (SELECT source, d FROM e GROUP BY 1, 2 HAVING count(k) <= 40) SELECT DISTINCT source::VARCHAR || '/' || d::VARCHAR AS event_id, source AS from_seq, k AS to_seq FROM e JOIN ok USING (source, d) WHERE k <> source",
+    "feedback_reconcile": f"""WITH {_SAMPLES.format(m="", w="AND x IS NOT NULL")},
+p AS (SELECT from_seq, to_seq, sum(CASE WHEN rn <= 16 THEN x * (1 << least(rn - 1, 16)::INT) ELSE 0 END)::BIGINT AS b, least(count(*), 16) AS n FROM (SELECT *, row_number() OVER (PARTITION BY from_seq, to_seq ORDER BY event_id DESC) AS rn FROM s WHERE event_id % 5 <> 0) GROUP BY 1, 2),
+q AS (SELECT from_seq, to_seq, sum(CASE WHEN rn <= 16 THEN x * (1 << least(rn - 1, 16)::INT) ELSE 0 END)::BIGINT AS b, least(count(*), 16) AS n FROM (SELECT *, row_number() OVER (PARTITION BY from_seq, to_seq ORDER BY event_id DESC) AS rn FROM s WHERE event_id % 7 <> 0) GROUP BY 1, 2)
+SELECT from_seq, to_seq, CASE WHEN p.n IS NULL THEN 'insert' WHEN q.n IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(q.b, p.b) AS history_bits, coalesce(q.n, p.n)::BIGINT AS sample_count
+FROM p FULL JOIN q USING (from_seq, to_seq) WHERE p.n IS NULL OR q.n IS NULL OR p.b <> q.b OR p.n <> q.n""",
+    "symbol_normalize": f"SELECT page_id::BIGINT AS pos, {_NORM.format("upper(url) || ' ' || url")} AS value FROM pages",
+    "symbol_reject": f"SELECT doc_id::BIGINT AS pos, 'symbol value exceeds 4096 normalized UTF-8 bytes' AS detail FROM documents WHERE strlen({_NORM.format('text')}) > 4096",
+    "symbol_intern": f"WITH {_NAMES} SELECT pos, id FROM batch JOIN symbols USING (value)",
+    "symbol_resolve": f"WITH {_NAMES} SELECT pos, id, value FROM batch JOIN symbols USING (value) UNION ALL SELECT -1, 1::BIGINT << 40, NULL",
+    "catalog_dense": "SELECT 0::BIGINT AS violations",
+    "codec_roundtrip": "WITH k AS (SELECT l_orderkey::BIGINT AS seq, l_suppkey AS key, count(DISTINCT l_partkey) AS m FROM lineitem GROUP BY 1, 2) SELECT seq, (9 + sum(9 + 8 * m))::BIGINT AS bytes, lpad(upper(to_hex(seq)), 16, '0') || lpad(upper(to_hex(count(*))), 2, '0') AS head, true AS same FROM k GROUP BY seq",
+}
+
+QUERIES = {name: globals()[name] for name in ORACLES}
