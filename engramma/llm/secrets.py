@@ -148,14 +148,19 @@ class Automaton:
         return (total + math.log(end)) / max(1, n)
 
 
-def train(credentials: dict[str, list[str]] | None = None) -> dict[str, tuple[Automaton, float]]:
-    """An automaton per format, with the least score its training credentials reach."""
+def train(credentials: dict[str, list[str]] | None = None) -> dict[str, tuple[Automaton, float, float]]:
+    """An automaton per format, with the range that 99 % of its training credentials score in.
+
+    A format has both bounds: a word of letters alone is likelier, under an
+    automaton of mixed letters and digits, than any of its credentials.
+    """
     out = {}
     for name, texts in (credentials or labelled_credentials()).items():
         start = FORMATS.get(name, ("", "", ()))[0]
         made = Automaton(texts, fixed=len(start))
         scores = sorted(made.score(t) for t in texts)
-        out[name] = (made, scores[len(scores) // 200])
+        cut = len(scores) // 200
+        out[name] = (made, scores[cut], scores[len(scores) - 1 - cut])
     return out
 
 
@@ -180,7 +185,7 @@ def compiled() -> tuple:
     return re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])
 
 
-def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float, float]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans that only the automata find (kind ``format``)."""
     base = base_spans(text, patterns)
     more = []
@@ -188,7 +193,7 @@ def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[
         token = m.group()
         if not varied(token) or any(s < m.end() and m.start() < e for s, e, _ in base):
             continue
-        if any(a.score(token) >= least for a, least in automata.values()):
+        if any(least <= a.score(token) <= most for a, least, most in automata.values()):
             more.append((m.start(), m.end(), "format"))
     return base, more
 
@@ -206,7 +211,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Automata are learned on the driver from labelled credentials (default: drawn
     from public formats) and score every candidate, a run of 16 or more
     characters of credentials' alphabets with letters and digits; one that is as likely as
-    the credentials themselves is added, unless it meets a base span. Places
+    the credentials themselves, no less and no more, is added, unless it meets a base span. Places
     count code points, ends are exclusive. Null text: empty, no spans. Repeated
     rows are scanned each; other columns are ignored; empty table: no rows.
     """
