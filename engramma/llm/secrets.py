@@ -74,8 +74,17 @@ class Automaton:
                 at = self.next[at][c]
             self.ends[at] += 1
         self._merge(alpha)
-        self.next = [dict(x) for x in self.next]
-        self.count = [dict(x) for x in self.count]
+        self._prune()
+        self.lengths = min(map(len, texts)), max(map(len, texts))
+
+    def _prune(self) -> None:
+        """Keep the states that can still be reached."""
+        order, at = [0], 0
+        while at < len(order):
+            order += [q for q in dict.fromkeys(self.next[order[at]].values()) if q not in order]
+            at += 1
+        new = {q: i for i, q in enumerate(order)}
+        self.next, self.count, self.ends = [{c: new[q] for c, q in self.next[o].items()} for o in order], [dict(self.count[o]) for o in order], [self.ends[o] for o in order]
 
     def _symbols(self, text: str) -> list[str]:
         """The first ``fixed`` characters stand for themselves, later ones for their class."""
@@ -134,7 +143,9 @@ class Automaton:
             blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in red]
 
     def score(self, text: str) -> float:
-        """Log likelihood per character, against characters and classes drawn evenly."""
+        """Log likelihood per symbol; -99 for a text that no path spells, or shorter or longer than all credentials."""
+        if not self.lengths[0] <= len(text) <= self.lengths[1]:
+            return -99.0
         at, total, n = 0, 0.0, 0
         for c in self._symbols(text):
             total_here = self._total(at)
