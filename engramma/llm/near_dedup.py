@@ -22,6 +22,8 @@ SKETCHES = 12
 ORDER = 2
 #: Candidates that one task compares, at most twice over; larger blocks are split.
 BLOCK = 384
+#: Places of a table of diagonals that an alignment may fill.
+TABLE = 1 << 22
 #: Words whose codes a worker remembers.
 REMEMBERED = 200_000
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -88,47 +90,76 @@ def order_sketches(shingles: np.ndarray, sketches: int = SKETCHES) -> list[int]:
     return out
 
 
-def banded_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """1 - edit distance / longer length of two code sequences; 0 if the distance leaves the band that ``least`` allows."""
-    longer = max(len(a), len(b))
-    if not longer:
-        return 1.0
-    limit = int((1 - least) * longer + 1e-9)
+def distance_within(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
+    """Edit distance of two code sequences if it is at most ``band``.
+
+    Only the diagonals within the band are looked at: per number of edits the
+    furthest place on each diagonal, from where it runs on to the diagonal's next mismatch.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > band:
+        return None
+    ks = np.arange(-band, band + 1)
+    low, high = np.maximum(0, -ks), np.minimum(n, m - ks)
+    inside = high >= low
+    stride, stops = n + m + 2, []
+    for at, (k, lo, hi) in enumerate(zip(ks.tolist(), low.tolist(), high.tolist(), strict=True)):
+        if hi >= lo:
+            stops += [at * stride + lo + np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]), np.array([at * stride + hi])]
+    ends, rows = np.concatenate(stops), np.arange(2 * band + 1) * stride
+    place = np.full(2 * band + 3, -2 * (n + m + 2))
+    place[band + 1] = 0
+    for edits in range(band + 1):
+        if edits:
+            step = np.maximum(np.maximum(place[1:-1] + 1, place[2:] + 1), place[:-2])
+            place[1:-1] = np.minimum(step, high)
+        live = np.flatnonzero(inside & (place[1:-1] >= low))
+        place[1 + live] = ends[np.searchsorted(ends, rows[live] + place[1 + live])] - rows[live]
+        if place[1 + band + m - n] >= n:
+            return edits
+    return None
+
+
+def distance_by_rows(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
+    """The same by the rows of the banded table: slower, with memory for one row of the band."""
     if abs(len(a) - len(b)) > limit:
-        return 0.0
-    n = min(len(a), len(b))
-    same = a[:n] == b[:n]
-    start = n if same.all() else int(np.argmin(same))
-    a, b = a[start:], b[start:]
-    n = min(len(a), len(b))
-    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
-    end = n if same.all() else int(np.argmin(same))
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    if not len(a) or not len(b):
-        dist = max(len(a), len(b))
-        return 1 - dist / longer if dist <= limit else 0.0
-    far = np.int64(1 << 40)
-    width = 2 * limit + 1
-    # row[k] is the distance of a[:i] and b[: i + k - limit].
-    j = np.arange(width) - limit
-    row = np.where((j >= 0) & (j <= len(b)), j, far)
+        return None
+    width, far = 2 * limit + 1, np.int64(1 << 40)
     steps = np.arange(width)
+    j = steps - limit  # column of row i at place k: i + k - limit
+    row = np.where((j >= 0) & (j <= len(b)), j, far)
     padded = np.concatenate([np.zeros(limit, b.dtype), b, np.zeros(limit + len(a) + 1, b.dtype)])
     for i in range(1, len(a) + 1):
         j = i + steps - limit
-        up = np.append(row[1:], far) + 1
-        diagonal = row + (padded[i - 1 : i - 1 + width] != a[i - 1])
-        new = np.minimum(up, diagonal)
+        new = np.minimum(np.append(row[1:], far) + 1, row + (padded[i - 1 : i - 1 + width] != a[i - 1]))
         new = np.where((j >= 1) & (j <= len(b)), new, far)
         if i <= limit:
             new[limit - i] = i
-        row = np.minimum.accumulate(new - steps) + steps
-        row = np.where((j >= 0) & (j <= len(b)), row, far)
+        row = np.where((j >= 0) & (j <= len(b)), np.minimum.accumulate(new - steps) + steps, far)
         if row.min() > limit:
+            return None
+    dist = int(row[len(b) - len(a) + limit])
+    return dist if dist <= limit else None
+
+
+def banded_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
+    """1 - edit distance / longer length of two code sequences; 0 if that is under ``least``.
+
+    The band is widened until the distance lies in it, up to the widest that
+    ``least`` allows; where diagonals would fill more than TABLE places, rows are used.
+    """
+    longer = max(len(a), len(b))
+    if not longer:
+        return 1.0
+    limit, band = int((1 - least) * longer + 1e-9), 8
+    while True:
+        small = (2 * band + 1) * longer <= TABLE
+        dist = distance_within(a, b, min(band, limit)) if small else distance_by_rows(a, b, limit)
+        if dist is not None:
+            return 1 - dist / longer
+        if band >= limit or not small:
             return 0.0
-    at = len(b) - len(a) + limit
-    dist = int(row[at]) if 0 <= at < width else limit + 1
-    return 1 - dist / longer if dist <= limit else 0.0
+        band *= 4
 
 
 def shared_counts(sets: list[np.ndarray], columns: int = 2048) -> np.ndarray:
