@@ -14,7 +14,7 @@ from engramma.llm.common import documents, small_batches, text_of
 BUCKETS = 1 << 13
 WIDTHS = (1, 2, 3)
 #: Labelled rows that a fit takes at most, those with the least hash of their id.
-SAMPLE = 4000
+SAMPLE = 2500
 EMBED = 16
 UNKNOWN = "und"
 #: Share of training examples that are thinned to a short text's few subwords.
@@ -151,12 +151,12 @@ def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             found = [subword_counts(t, letter) for t in b.column("_text").to_pylist()]
             at = [np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_lang"), pa.array([a.tolist() for a in at], pa.list_(pa.int32())), pa.array([c[a].tolist() for a, c in zip(at, found, strict=True)], pa.list_(pa.int64()))], names=["_id", "_lang", "at", "n"]
+                [b.column("_id"), b.column("_lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i8").tobytes() for a, c in zip(at, found, strict=True)], pa.binary())], names=["_id", "_lang", "at", "n"]
             )
 
-    got = taken.mapInArrow(counted, f"_id {dict(docs.dtypes)[id_col]}, _lang string, at array<int>, n array<long>").collect()
+    got = taken.mapInArrow(counted, f"_id {dict(docs.dtypes)[id_col]}, _lang string, at binary, n binary").collect()
     got = sorted(got, key=lambda r: (str(r["_id"]), r["_lang"]))[: 2 * sample]
-    return train_model([(np.array(r["at"], np.int64), np.array(r["n"], np.float32)) for r in got], [r["_lang"] for r in got])
+    return train_model([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<i8")) for r in got], [r["_lang"] for r in got])
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
