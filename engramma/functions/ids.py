@@ -49,11 +49,11 @@ def memory_is_valid(memory: Column) -> Column:
 
 def biased(value: Column) -> Column:
     """A caller's unsigned 64-bit id as a signed one of the same order."""
-    return (value.cast("decimal(20,0)") - F.lit(1 << 63).cast("decimal(20,0)")).cast("long")
+    return (value.cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("long")
 
 
 def unbiased(value: Column) -> Column:
-    return (value.cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (value.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def u64_bytes(value: Column) -> Column:
