@@ -252,16 +252,13 @@ def components(links: DataFrame) -> DataFrame:
         return out.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
 
     edges = staged(links.where("_a <> _b").select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct(), "links")
-    state = None
     while True:
-        total = edges.count()
-        if not total:
+        ends = edges.select(F.col("_b").alias("_n"), F.lit(1).alias("_up")).unionByName(edges.select(F.col("_a").alias("_n"), F.lit(0).alias("_up")))
+        nodes = ends.groupBy("_n").agg(F.sum("_up").alias("_up"), F.count("*").alias("_deg"))
+        if not nodes.where("_up > 0 and _deg > 1").count():  # every node is a root, or tied to one root and to nothing else
             break
+        total = edges.count()
         edges = staged(star(staged(star(edges, False), "large"), True), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("_a", "_b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     stars = edges.select(F.col("_b").alias("_id"), F.col("_a").alias("_label"))
     return stars.unionByName(edges.select(F.col("_a").alias("_id"), F.col("_a").alias("_label")).distinct())
 
