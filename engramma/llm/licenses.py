@@ -95,6 +95,81 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return found.select(F.col("_id").alias(id_col), "place", "_m.template", "_m.dice").where(F.col("dice") >= threshold)
 
 
+def window_sizes(text: str, threshold: float) -> tuple[int, int, int]:
+    """Least shared bigrams, and least and most bigram places of a window that can reach the threshold.
+
+    A template that repeats bigrams takes more places than it has distinct bigrams; its windows may too.
+    """
+    n = len(template_bigrams(text))
+    low, high = size_bounds(n, threshold)
+    shared = next(s for s in range(n + 1) if s * (2 - threshold) >= threshold * n - 1e-9)
+    return shared, low, high + len(re.findall(r"[^\W_]+", text)) - 1 - n
+
+
+def scan_license_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Places of whole texts that match a licence template, wherever lines, sentences and comments begin and end.
+
+    The text is one row of words (lower case, runs of letters and digits; so
+    line ends and comment leaders such as ``*``, ``//`` and ``#`` fall away, and ``rem`` and
+    ``dnl`` at a line's start are dropped). Every window of ``window_sizes`` places is
+    compared with the template. Only windows that begin and end with a bigram of the
+    template are formed: cutting another off its edge never lowers the Dice
+    coefficient. Of windows that overlap, the best stays, then the first, then the shortest.
+
+    One row per place and template: id, ``start`` (number of the window's first
+    word), ``n_words``, ``template``, ``dice``. Texts that are null, empty or without a match
+    give no row; repeated rows are scanned each; other columns are ignored. No shuffle.
+    """
+    named = templates or TEMPLATES
+    grams = {name: template_bigrams(t) for name, t in named.items()}
+    anchors = sorted({a for g in grams.values() for a in needed(g, threshold)})
+    bare = F.regexp_replace(text_of(text_col), r"(?im)^[ \t]*@?(?:rem|dnl)[ \t]", " ")
+    norm = F.concat(F.lit(" "), F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    rows = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm")).where(F.col("_norm").rlike(" (?:" + "|".join(anchors) + ") "))
+    rows = rows.select("_id", F.split(F.trim("_norm"), " +").alias("_words"))
+    rows = rows.select("_id", F.transform(F.slice("_words", F.lit(1), F.size("_words") - 1), lambda w, i: F.concat(w, F.lit(" "), F.get("_words", i + 1))).alias("_pairs"))
+
+    def template(name: str) -> Column:
+        shared, low, most = window_sizes(named[name], threshold)
+        values = {"shared": shared, "low": low, "most": most, "n": len(grams[name])}
+        made = F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams[name])).alias("grams"), *[F.lit(v).alias(k) for k, v in values.items()])
+        return F.when(F.arrays_overlap("_pairs", F.array(*map(F.lit, needed(grams[name], threshold)))), made)
+
+    rows = rows.select("_id", "_pairs", F.explode(F.array_compact(F.array(*map(template, grams)))).alias("_t"))
+    marked = F.transform("_pairs", lambda g, i: F.struct(i.alias("p"), F.array_position(F.col("_t.grams"), g).cast("int").alias("k")))
+    rows = rows.withColumn("_hits", F.filter(marked, lambda h: h["k"] > 0))
+
+    def reach(h: Column, i: Column) -> Column:
+        """A hit with those that a window from it can hold."""
+        near = F.filter(F.slice("_hits", i + 1, F.col("_t.most")), lambda x: x["p"] < h["p"] + F.col("_t.most"))
+        return F.struct(h["p"].alias("p"), near.alias("near"))
+
+    rows = rows.withColumn("_from", F.filter(F.transform("_hits", reach), lambda w: F.size(F.array_distinct(w["near"]["k"])) >= F.col("_t.shared")))
+
+    def windows(w: Column) -> Column:
+        def to(e: Column, j: Column) -> Column:
+            shared = F.size(F.array_distinct(F.slice(w["near"]["k"], F.lit(1), j + 1)))
+            length = e["p"] - w["p"] + 1
+            total = F.size(F.array_distinct(F.slice("_pairs", w["p"] + 1, length)))
+            dice = F.when((shared >= F.col("_t.shared")) & (length >= F.col("_t.low")), 2.0 * shared / (total + F.col("_t.n"))).otherwise(0.0)
+            return F.struct((-dice).alias("d"), w["p"].alias("p"), length.alias("n"))
+
+        return F.filter(F.transform(w["near"], to), lambda x: x["d"] <= -threshold)
+
+    def keep(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda y: (x["p"] <= y["p"] + y["n"]) & (y["p"] <= x["p"] + x["n"])), kept).otherwise(F.array_append(kept, x))
+
+    found = F.array_sort(F.flatten(F.transform("_from", windows)))
+    rows = rows.withColumn("_found", found)
+    best = F.aggregate("_found", F.array().cast("array<struct<d:double,p:int,n:int>>"), keep)
+    rows = rows.select("_id", "_t.name", F.explode(best).alias("_m"))
+    return rows.select(F.col("_id").alias(id_col), F.col("_m.p").alias("start"), (F.col("_m.n") + 1).alias("n_words"), F.col("name").alias("template"), (-F.col("_m.d")).alias("dice"))
+
+
+def op9_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_license_windows(documents(spark, sf_dir))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 

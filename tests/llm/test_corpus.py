@@ -269,6 +269,41 @@ def test_licenses_sql(spark, docs, monkeypatch):
     assert {(i, t) for i, _, t, _ in got if i < 100} == {(0, "Apache-2.0/line"), (1, "GPL-3.0/line"), (2, "MIT/text")}
 
 
+def best_windows(text, template, threshold=0.8):
+    """All windows of a text by brute force, then the best of those that overlap."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    pairs, g = [f"{a} {b}" for a, b in zip(words, words[1:])], set(licenses.template_bigrams(template))
+    found = []
+    for n in range(1, licenses.window_sizes(template, threshold)[2] + 1):
+        for p in range(len(pairs) - n + 1):
+            w = set(pairs[p : p + n])
+            if (d := 2 * len(w & g) / (len(w) + len(g))) >= threshold:
+                found.append((-d, p, n))
+    out = []
+    for d, p, n in sorted(found):
+        if all(p > q + m or q > p + n for _, q, m in out):
+            out.append((d, p, n))
+    return {(p, n + 1, -d) for d, p, n in out}
+
+
+def test_license_windows(spark):
+    t, rng = licenses.TEMPLATES, random.Random(9)
+    comment = lambda s, lead: "\n".join(lead + " " + " ".join(s.split()[i : i + 8]) for i in range(0, len(s.split()), 8))
+    cases = {
+        "/*\n * Copyright 2020 A\n *\n" + comment(t["MIT/text"], " *") + ":\n */": "MIT/text", comment(t["GPL-3.0/notice"], "#") + ". See more.": "GPL-3.0/notice",
+        comment(t["MPL-2.0/notice"], "REM"): "MPL-2.0/notice", "This software is released under the MIT License, see LICENSE": "MIT/line", "Text is licensed under CC BY 4.0 unless noted otherwise": "CC-BY-4.0/line",
+    }
+    texts = [*cases, None, "", "license", "under the MIT", f"{t['MIT/line']} {t['MIT/line']} and {t['MIT/line']}"]
+    for _ in range(25):
+        words = " ".join(rng.choice(list(t.values())) for _ in range(2)).split()
+        texts.append(" ".join(w if rng.random() < 0.93 else rng.choice(["zz", w + " " + w, ""]) for w in words))
+    got = licenses.scan_license_windows(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert {i: max((r["dice"], r["template"]) for r in got if r["doc_id"] == i) for i in range(len(cases))} == {i: (1.0, name) for i, name in enumerate(cases.values())}
+    bare = lambda s: re.sub(r"(?im)^[ \t]*rem ", " ", s or "")
+    want = {(i, p, n, name, d) for i, s in enumerate(texts) for name in t for p, n, d in best_windows(bare(s), t[name])}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def shingles(text):
     w, n, out = re.findall(r"\w+", text.lower()), Counter(), set()
     for j in range(max(1, len(w) - 4) if w else 0):
