@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: What joins a credential to its name or to a path within a run of candidate characters.
+JOINS = "+/_=-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 DIGITS = "0123456789"
@@ -58,7 +61,7 @@ class Automaton:
     """A probabilistic automaton, learned by merging compatible states of a prefix tree (ALERGIA)."""
 
     def __init__(self, texts: list[str], alpha: float = 0.005, fixed: int = 0):
-        self.fixed = fixed
+        self.fixed, self.start = fixed, texts[0][:fixed]
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
@@ -196,17 +199,35 @@ def compiled() -> tuple:
     return re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])
 
 
+def pieces(run: str, automata: dict[str, tuple[Automaton, float, float]]) -> Iterator[tuple[int, int, int]]:
+    """Credentials within a run of candidate characters: start, stop, and 0 for a format with a fixed start, else 1.
+
+    A piece ends before a joining character or with the run. It begins with its
+    format's fixed start, wherever that stands, or else after a joining character or with the run.
+    """
+    joins = [i for i, c in enumerate(run) if c in JOINS]
+    begins, ends = [0, *(i + 1 for i in joins)], [*joins, len(run)]
+    for a, least, most in automata.values():
+        for s in [m.start() for m in re.finditer(f"(?={re.escape(a.start)})", run)] if a.start else begins:
+            for e in ends[bisect_left(ends, s + a.lengths[0]) : bisect_right(ends, s + a.lengths[1])]:
+                if varied(run[s:e]) and least <= a.score(run[s:e]) <= most:
+                    yield s, e, 0 if a.start else 1
+
+
 def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float, float]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans that only the automata find (kind ``format``)."""
     base = base_spans(text, patterns)
-    more = []
+    found = []
     for m in candidate.finditer(text):
-        token = m.group()
-        if not varied(token) or any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        if any(least <= a.score(token) <= most for a, least, most in automata.values()):
-            more.append((m.start(), m.end(), "format"))
-    return base, more
+        for s, e, rank in pieces(m.group(), automata):
+            s, e = s + m.start(), e + m.start()
+            if not any(a < e and s < b for a, b, _ in base):
+                found.append((rank, s - e, s, e))
+    more = []
+    for _, _, s, e in sorted(found):
+        if not any(a < e and s < b for a, b, _ in more):
+            more.append((s, e, "format"))
+    return base, sorted(more)
 
 
 KINDS = ("assign", "access", "hex", "format")
@@ -220,9 +241,10 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """Find secrets in whole texts: id, ``base`` and ``added`` spans (kind, start, stop).
 
     Automata are learned on the driver from labelled credentials (default: drawn
-    from public formats) and score every candidate, a run of 16 or more
-    characters of credentials' alphabets with letters and digits; one that is as likely as
-    the credentials themselves, no less and no more, is added, unless it meets a base span. Places
+    from public formats) and score every candidate: each of the ``pieces`` of a run of 16 or more
+    characters of credentials' alphabets, with letters and digits; one that is as likely as
+    the credentials themselves, no less and no more, is added, unless it meets a base span. Of added
+    spans that would overlap, one with a fixed start stays, then the longest, then the first. Places
     count code points, ends are exclusive. Null text: empty, no spans. Repeated
     rows are scanned each; other columns are ignored; empty table: no rows.
     """
