@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramma.llm.common import documents, small_batches, text_of
+from engramma.llm.licenses import TEMPLATES
 
 # The base patterns and their least lengths.
 ASSIGN = r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -61,7 +62,7 @@ class Automaton:
     """A probabilistic automaton, learned by merging compatible states of a prefix tree (ALERGIA)."""
 
     def __init__(self, texts: list[str], alpha: float = 0.005, fixed: int = 0):
-        self.fixed, self.start = fixed, texts[0][:fixed]
+        self.fixed, self.start, self.classes = fixed, texts[0][:fixed], frozenset(symbol(c) for t in texts for c in t[fixed:])
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
@@ -165,8 +166,7 @@ class Automaton:
 def train(credentials: dict[str, list[str]] | None = None) -> dict[str, tuple[Automaton, float, float]]:
     """An automaton per format, with the range that 99 % of its training credentials score in.
 
-    A format has both bounds: a word of letters alone is likelier, under an
-    automaton of mixed letters and digits, than any of its credentials.
+    The range describes a format; the scan does not cut by it (see ``taken``).
     """
     out = {}
     for name, texts in (credentials or labelled_credentials()).items():
@@ -178,9 +178,93 @@ def train(credentials: dict[str, list[str]] | None = None) -> dict[str, tuple[Au
     return out
 
 
-def varied(text: str) -> bool:
-    """Whether a candidate has two digits or more and letters: prose and numbers have no format to score."""
-    return sum(c in DIGITS for c in text) >= 2 and any(c.isalpha() for c in text)
+def labelled_words(n: int = 4000, seed: int = 7) -> list[str]:
+    """Training text of the background: names, paths and numbers made of the words of licence notices."""
+    rng, words = random.Random(seed), re.findall(r"[a-z]+", " ".join(TEMPLATES.values()).lower())
+    out = []
+    for _ in range(n):
+        parts, way = rng.choices(words, k=rng.randrange(2, 8)), rng.randrange(6)
+        parts = [w.title() for w in parts] if way < 2 else [w.upper() for w in parts] if way == 2 else parts
+        parts = [str(rng.randrange(10 ** rng.randrange(1, 9))) if rng.random() < 0.12 else w for w in parts]
+        out.append(("", "", "/", "/", "_", "-")[rng.randrange(6)].join(parts))
+    return out
+
+
+def kind_of(c: str) -> str:
+    return "l" if c in LOWER else "L" if c in UPPER else "9" if c in DIGITS else c
+
+
+class Background:
+    """How likely a text is as words, names, paths and numbers, or as few characters repeated."""
+
+    def __init__(self, texts: list[str]):
+        self.kinds: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        self.pairs: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for t in texts:
+            for a, b in zip(" " + t, t):
+                self.kinds[kind_of(a)][kind_of(b)] += 1
+                self.pairs[a.lower()][b.lower()] += 1
+        self.kinds, self.pairs = ({a: dict(n) for a, n in x.items()} for x in (self.kinds, self.pairs))
+
+    def _words(self, text: str) -> float:
+        total = 0.0
+        for a, b in zip(" " + text, text):
+            k, n = kind_of(b), self.kinds.get(kind_of(a), {})
+            total += math.log((n.get(k, 0) + 1) / (sum(n.values()) + 8))
+            if k in "lL9":
+                same = DIGITS if k == "9" else LOWER
+                m = self.pairs.get(a.lower(), {})
+                total += math.log((m.get(b.lower(), 0) + 40 / len(same)) / (sum(m.get(c, 0) for c in same) + 40))
+        return total
+
+    def _repeats(self, text: str) -> float:
+        seen: dict[str, int] = defaultdict(int)
+        total = 0.0
+        for i, c in enumerate(text):
+            total += math.log((seen[c] + 0.5) / (i + 33))
+            seen[c] += 1
+        return total
+
+    def score(self, text: str) -> float:
+        """Log likelihood; repeats are rare, so that they weigh only where the text is plainly made of them."""
+        return max(self._words(text), self._repeats(text) - RARE)
+
+
+SHARE = {s: math.log(sum(symbol(c) == s for c in UPPER + LOWER + DIGITS)) for s in "hlHL9"}
+#: Nats by which repeated characters are rarer than words.
+RARE = 25.0
+#: Evidence, in nats, from which the text next to a piece counts as going on like the piece.
+GOES_ON = 20.0
+
+
+def taken(run: str, s: int, e: int, automaton: Automaton, background: Background) -> bool:
+    """Whether a piece of a run is a credential of the automaton's format.
+
+    With a fixed start: if the automaton spells it. Without: if the automaton
+    makes it likelier than the background does, and it is not cut out of a longer run of the same
+    kind (base64) at a joining character that the format itself uses; one more credential
+    beside it is none.
+    """
+    text = run[s:e]
+    score = automaton.score(text)
+    if score <= -99 or automaton.start:
+        return score > -99
+    if score * len(text) - sum(SHARE.get(symbol(c), 0.0) for c in text) <= background.score(text):
+        return False
+
+    low, high = automaton.lengths
+    far = high + 2
+
+    def stretch(joined: str) -> str:
+        """What the format's characters reach to beyond a joining character, at most one more than its longest credential."""
+        n = 0
+        while n < len(joined) and symbol(joined[n]) in automaton.classes:
+            n += 1
+        return joined[1:n]
+
+    beside = stretch(run[max(0, s - far) : s][::-1])[::-1], stretch(run[e : e + far])
+    letters = sum(math.exp(SHARE.get(c, 0.0)) for c in automaton.classes)
+    return not any(t and not low <= len(t) <= high and -len(t) * math.log(letters) - background.score(t) > GOES_ON for t in beside)
 
 
 def base_spans(text: str, patterns: tuple) -> list[tuple[int, int, str]]:
@@ -199,7 +283,7 @@ def compiled() -> tuple:
     return re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])
 
 
-def pieces(run: str, automata: dict[str, tuple[Automaton, float, float]]) -> Iterator[tuple[int, int, int]]:
+def pieces(run: str, automata: dict[str, tuple[Automaton, float, float]], background: Background) -> Iterator[tuple[int, int, int]]:
     """Credentials within a run of candidate characters: start, stop, and 0 for a format with a fixed start, else 1.
 
     A piece ends before a joining character or with the run. It begins with its
@@ -207,19 +291,22 @@ def pieces(run: str, automata: dict[str, tuple[Automaton, float, float]]) -> Ite
     """
     joins = [i for i, c in enumerate(run) if c in JOINS]
     begins, ends = [0, *(i + 1 for i in joins)], [*joins, len(run)]
-    for a, least, most in automata.values():
+    for a, _, _ in automata.values():
         for s in [m.start() for m in re.finditer(f"(?={re.escape(a.start)})", run)] if a.start else begins:
-            for e in ends[bisect_left(ends, s + a.lengths[0]) : bisect_right(ends, s + a.lengths[1])]:
-                if varied(run[s:e]) and least <= a.score(run[s:e]) <= most:
+            most = s + a.fixed
+            while most < min(len(run), s + a.lengths[1]) and symbol(run[most]) in a.classes:
+                most += 1
+            for e in ends[bisect_left(ends, s + a.lengths[0]) : bisect_right(ends, most)]:
+                if run[s:e].strip(JOINS) and taken(run, s, e, a, background):
                     yield s, e, 0 if a.start else 1
 
 
-def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float, float]]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float, float]], background: Background) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans that only the automata find (kind ``format``)."""
     base = base_spans(text, patterns)
     found = []
     for m in candidate.finditer(text):
-        for s, e, rank in pieces(m.group(), automata):
+        for s, e, rank in pieces(m.group(), automata, background):
             s, e = s + m.start(), e + m.start()
             if not any(a < e and s < b for a, b, _ in base):
                 found.append((rank, s - e, s, e))
@@ -242,20 +329,20 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Automata are learned on the driver from labelled credentials (default: drawn
     from public formats) and score every candidate: each of the ``pieces`` of a run of 16 or more
-    characters of credentials' alphabets, with letters and digits; one that is as likely as
-    the credentials themselves, no less and no more, is added, unless it meets a base span. Of added
+    characters of credentials' alphabets. One that has its format's fixed start and is spelled by its
+    automaton, or that is likelier as a credential than as words, is added, unless it meets a base span. Of added
     spans that would overlap, one with a fixed start stays, then the longest, then the first. Places
     count code points, ends are exclusive. Null text: empty, no spans. Repeated
     rows are scanned each; other columns are ignored; empty table: no rows.
     """
     small_batches(docs.sparkSession)
-    automata = train(credentials)
+    automata, background = train(credentials), Background(labelled_words())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, candidate = compiled(), re.compile(CANDIDATE)
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
-            found = [scan_text(t, patterns, candidate, automata) for t in b.column(1).to_pylist()]
+            found = [scan_text(t, patterns, candidate, automata, background) for t in b.column(1).to_pylist()]
             cols = [pa.array([[{"kind": k, "start": s, "stop": e} for s, e, k in f[i]] for f in found], span) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["_id", "base", "added"])
 

@@ -187,6 +187,20 @@ def test_secrets_joined_to_other_text(spark):
     assert got == {i: [(len(a), len(a) + len(made[k]))] for i, (a, k, _) in enumerate(around)}
 
 
+def test_secrets_with_few_digits(spark):
+    fresh = secrets.labelled_credentials(1500, seed=31)
+    few = [t for k in ("code_host", "cloud_api", "payment", "chat", "key40") for t in fresh[k] if sum(c.isdigit() for c in t) < 2]
+    rng = random.Random(4)
+    blob = "".join(rng.choice(secrets.UPPER + secrets.LOWER + secrets.DIGITS + "+/") for _ in range(3000))
+    none = ["/usr/share/doc/packages/python/examples/ab", "AllCopiesOfTheSoftwareAreFurnishedToYou4", "A" * 40, "/" * 40, "abcd" * 10, "Reproduction/And/Distribution/Permitted2", blob]
+    assert len({k for k, ts in fresh.items() if {*ts} & {*few}}) == 5
+    pair = f"{fresh['key40'][0]}/{fresh['key40'][1]}"
+    got = {r["doc_id"]: [(x["start"], x["stop"]) for x in r["added"]] for r in secrets.scan_secrets(spark.createDataFrame(rows([*few, *none, pair]), SCHEMA)).collect()}
+    assert all(got[i] == [(0, len(t))] for i, t in enumerate(few))
+    assert not any(got[len(few) + i] for i in range(len(none)))
+    assert got[len(few) + len(none)] == [(0, 40), (41, 81)]
+
+
 def test_automata_tell_formats_from_prose():
     automata = secrets.train()
     fresh = secrets.labelled_credentials(50, seed=99)
