@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -269,6 +270,19 @@ def test_language_identification(spark):
     assert language_id.identify_languages(frame, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_fit_holds_no_dense_sample():
+    rng = np.random.default_rng(2)
+    counts = [(np.sort(rng.choice(200, 60, replace=False) + 4000 * (i % 2)).astype("<u2"), rng.integers(1, 9, 60)) for i in range(1500)]
+    tracemalloc.start()
+    model = language_id.train_model(counts, ["ab"[i % 2] for i in range(1500)], epochs=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert language_id.SAMPLE == 4000 and peak < 1500 * language_id.BUCKETS * 4 / 2
+    full = np.zeros(language_id.BUCKETS)
+    full[counts[1][0]] = counts[1][1]
+    assert model.predict(full)[0] == "b"
+
+
 def test_quality(spark, words):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(words) for _ in range(60))
