@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,18 +16,36 @@ HOT_SHARE = 1000
 #: The six characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Rows and bytes of the Arrow batches that Python workers hold, where the session has no bounds of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
+    """The cluster's shared folder; one of our own only where none is set and all run in one process (tests).
+
+    A cluster without a shared folder is an error: each executor would write to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="engramma-")
-    return _own[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="engramma-")
+    return _own[context.applicationId]
+
+
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/engramma/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(made)
+    files.deleteOnExit(made)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -34,16 +54,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     A lost executor then costs no recomputation of what lies before, and a
     table that is read several times is computed once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/engramma/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = folder_for(df.sparkSession, name) + "/table"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches of whole texts that Python workers hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+def dropped(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        made = spark._jvm.org.apache.hadoop.fs.Path(path)
+        made.getFileSystem(spark._jsc.hadoopConfiguration()).delete(made, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts, unless the session was given bounds."""
+    given = spark.conf.getAll
+    for name, value in BATCH.items():
+        if name not in given:
+            spark.conf.set(name, value)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or it with as many underscores as make it no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_keyed(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a key of each row that every later scan repeats: its file and its place in it.
+
+    So rows that are equal in every column are told apart without writing the
+    texts again. A table that is not read from files is written first. Made for the
+    tables between stages; a join above the files would repeat keys.
+    """
+    try:
+        place = docs.metadataColumn("_metadata")
+        out = docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
+        out.schema  # noqa: B018 - resolved here, or not at all
+        return out
+    except AnalysisException:
+        written = staged(docs, "rows")
+        place = written.metadataColumn("_metadata")
+        return written.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +131,9 @@ def join_spread(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return out.select(*rows.columns, *[got[c].alias(c) for c in cols])
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids`` (narrow, one row per id).
+def keep_rows(docs: DataFrame, kept: DataFrame, key: str = "_row") -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is in ``kept`` (narrow, one row per key), without the key.
 
-    The hash table is built of ids, so texts are dealt but never sorted.
+    The hash table is built of keys, so texts are dealt but never sorted.
     """
-    return docs.join(ids.select(F.col(id_col).alias("_kept_id")).hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    return docs.join(kept.select(F.col(key)).hint("shuffle_hash"), key, "left_semi").drop(key)

@@ -20,7 +20,7 @@ UNKNOWN = "und"
 #: Share of training examples that are thinned to a short text's few subwords.
 SHORT = 0.5
 #: Code points that are counted at once.
-PIECE = 1 << 20
+PIECE = 1 << 16
 
 
 def letter_table() -> np.ndarray:
@@ -143,51 +143,61 @@ def train_model(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str],
 def fit_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> LanguageModel:
     """Fit on at most ``sample`` rows with text and language, those with the least hash of their id.
 
-    Executors turn whole texts into subword counts (BUCKETS numbers a row at
+    Rows that repeat an id count as one, the least by language and text; so no more than
+    ``sample`` rows are collected. Rows without an id are left out. Executors turn whole texts into subword counts (BUCKETS numbers a row at
     most), and only those reach the driver. No labelled row: a model that names no language.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang")).where("_text is not null and _lang is not null and _id is not null")
     chosen = rows.select("_id", F.xxhash64("_id").alias("_h")).orderBy("_h", "_id").limit(sample)
-    taken = rows.join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi").select("_id", "_text", "_lang")
+    taken = rows.join(F.broadcast(chosen.select("_id").distinct()), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct("_lang", "_text")).alias("_r")).select("_id", "_r._text", "_r._lang")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter = letter_table()
         for b in batches:
-            found = [subword_counts(t, letter) for t in b.column("_text").to_pylist()]
+            found = [subword_counts(t.as_py(), letter) for t in b.column("_text")]
             at = [np.flatnonzero(c) for c in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("_id"), b.column("_lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([c[a].astype("<i8").tobytes() for a, c in zip(at, found, strict=True)], pa.binary())], names=["_id", "_lang", "at", "n"]
             )
 
     got = taken.mapInArrow(counted, f"_id {dict(docs.dtypes)[id_col]}, _lang string, at binary, n binary").collect()
-    got = sorted(got, key=lambda r: (str(r["_id"]), r["_lang"]))[: 2 * sample]
+    got = sorted(got, key=lambda r: (str(r["_id"]), r["_lang"]))
     return train_model([(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<i8")) for r in got], [r["_lang"] for r in got])
 
 
+def language_of(model: LanguageModel):
+    """Arrow function: text -> (language, score, rejected). Only the texts travel to Python, a batch at a time."""
+
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        letter = letter_table()
+        for texts in batches:
+            languages, scores, rejected = [], [], []
+            for item in texts:
+                text = item.as_py()
+                spelled = text is not None and any(map(str.isalpha, text))
+                language, score = model.predict(subword_counts(text, letter)) if spelled else (UNKNOWN, 0.0)
+                languages.append(language)
+                scores.append(score)
+                rejected.append(not spelled or (bool(model.languages) and (language == UNKNOWN or score < model.reject_below)))
+            yield pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=["lang_pred", "lang_score", "lang_rejected"])
+
+    # Not deterministic, so that Catalyst never evaluates it once for a filter and again for a column.
+    return F.arrow_udf(named, "struct<lang_pred:string,lang_score:double,lang_rejected:boolean>").asNondeterministic()
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``lang_pred``, ``lang_score`` (0 to 1), ``lang_rejected``.
 
-    A null text or one without a letter is ``und`` with score 0 and rejected, as is
-    every text if the model knows no language. Rejected too: a score under the
-    model's calibrated bound. Rows keep their number; columns of ``docs`` that bear one of the three
-    names are replaced. Empty table: no rows.
+    A null text or one without a letter is ``und`` with score 0 and rejected. Rejected too: a score under the
+    model's calibrated bound. A model that knows no language names every text ``und`` and rejects none that has a letter.
+    Rows keep their number; columns of ``docs`` that bear one of the three names are replaced. Empty table: no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    at = docs.columns.index(text_col)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letter = letter_table()
-        for b in batches:
-            found = [model.predict(subword_counts(t, letter)) if t is not None and any(map(str.isalpha, t)) else (UNKNOWN, 0.0) for t in b.column(at).to_pylist()]
-            more = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] == UNKNOWN or f[1] < model.reject_below for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "lang_pred", "lang_score", "lang_rejected"])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    more = [StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rejected", BooleanType())]
-    return docs.mapInArrow(predict, StructType([*docs.schema.fields, *more]))
+    cols = docs.columns
+    out = docs.withColumn("_named", language_of(model)(F.col(text_col).cast("string")))
+    return out.select(*cols, "_named.lang_pred", "_named.lang_score", "_named.lang_rejected")
 
 
 def fold(modulus: int, rest: int, id_col: str = "doc_id") -> F.Column:
@@ -199,9 +209,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit_language_model(docs.where(~fold(4, 2)))
     found = identify_languages(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_rejected")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that language identification rejects."""
-    return identify_languages(docs, fit_language_model(docs)).where(~F.col("lang_rejected")).select(*docs.columns)
+    """Drop the documents that language identification rejects.
+
+    Null texts and texts without a letter go. Without a labelled document the model knows no language and rejects nothing
+    else. Repeated rows meet the same fate; all columns stay as they are, whatever their names; empty table: no rows.
+    """
+    small_batches(spark)
+    return docs.where(~language_of(fit_language_model(docs))(F.col("text").cast("string"))["lang_rejected"])
