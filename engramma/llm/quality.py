@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from engramma.llm.common import documents, small_batches, text_of
 from engramma.llm.language_id import fold
 
-#: Labelled rows that a fit takes at most of each class, and bytes of text of each of those.
+#: Labelled rows that a fit takes at most of each class, and code points of text of each of those, in PARTS parts of a longer text.
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 16
+PARTS = 32
 DICTIONARY = 112_640
 #: Bytes that are compressed at once: a long text's own beginning must not replace the dictionary.
 CHUNK = 2048
@@ -97,18 +98,27 @@ def train_model(good: list[str], bad: list[str], n_good: int, n_bad: int) -> Qua
     return QualityModel(d_good, d_bad, slope, offset)
 
 
+def bounded(text: F.Column) -> F.Column:
+    """A text of at most SAMPLE_BYTES code points whole; of a longer one so many in PARTS parts, evenly spread."""
+    size = SAMPLE_BYTES // PARTS
+    step = (F.length(text) - size) / (PARTS - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substring(text, (i * step).cast("int") + 1, F.lit(size)))
+    return F.when(F.length(text) > SAMPLE_BYTES, F.array_join(parts, "")).otherwise(text)
+
+
 def fit_quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
-    """Fit on at most ``sample`` labelled texts per class, under SAMPLE_BYTES each, with the least hashes of their ids.
+    """Fit on at most ``sample`` labelled texts per class, those with the least hashes of their ids.
 
-    Labels other than 0 and 1, and null ids, are ignored; an id with several
-    labels counts with each. Texts of that bounded sample are taken whole to the driver.
+    Of a text over SAMPLE_BYTES code points as many are taken, from PARTS places all over it. Labels other
+    than 0 and 1, and null ids, are ignored; an id with several labels counts with each; rows that repeat an id
+    count as one, the least by text. So at most 2 x ``sample`` bounded texts come to the driver. No label: every score is 0.5.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").withColumn("_h", F.xxhash64("_id"))
     totals = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     chosen = rows.where("_y = 1").orderBy("_h", "_id").limit(sample).unionByName(rows.where("_y = 0").orderBy("_h", "_id").limit(sample)).select("_id", "_y").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).where(F.octet_length("_text").between(1, SAMPLE_BYTES))
-    got = texts.join(F.broadcast(chosen), "_id").collect()
-    got = sorted(got, key=lambda r: (str(r["_id"]), r["_text"]))[: 4 * sample]
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    got = texts.join(F.broadcast(chosen), "_id").select("_id", "_y", bounded(F.col("_text")).alias("_text")).groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
+    got = sorted(got, key=lambda r: (str(r["_id"]), r["_text"]))
     return train_model([r["_text"] for r in got if r["_y"] == 1], [r["_text"] for r in got if r["_y"] == 0], totals.get(1, 0), totals.get(0, 0))
 
 
@@ -123,7 +133,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, id_col: str = "doc_id
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizer = Sizer(model.good, model.bad)
         for b in batches:
-            d = [sizer.difference(t) for t in b.column(1).to_pylist()]
+            d = [sizer.difference(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d, pa.float64()), pa.array([model.probability(v) for v in d], pa.float64())], names=["_id", "size_difference", "score"])
 
     plain = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
