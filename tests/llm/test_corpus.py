@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -383,8 +384,9 @@ def test_alignment_distances():
                 table.append(min(before[j] + 1, table[-1] + 1, before[j - 1] + (x != y)))
         band = rng.randrange(0, 9)
         want = table[-1] if table[-1] <= band else None
-        for found in (near_dedup.distance_within, near_dedup.distance_by_rows):
-            assert found(np.array(a, np.uint64), np.array(b, np.uint64), band) == want
+        assert near_dedup.distance_by_anchors(np.array(a, np.uint32), np.array(b, np.uint32), 2) >= table[-1]
+        for found in (near_dedup.distance_within, near_dedup.distance_by_bits):
+            assert found(np.array(a, np.uint32), np.array(b, np.uint32), band) == want
 
 
 def test_components(spark):
@@ -415,3 +417,14 @@ def test_empty_and_repeated_rows(spark, docs):
         assert apply(no_id).count() == 5
     assert packing.pack(none).count() == 0 and licenses.scan_licenses(none).count() == 0
     assert packing.pack(twice).where("start = 0").count() == 12
+
+
+def test_alignment_of_very_long_texts():
+    rng = np.random.default_rng(1)
+    a = (rng.zipf(1.3, 250_000) % 20_000).astype(np.uint32)
+    noisy = np.where(rng.random(len(a)) < 0.02, rng.integers(0, 20_000, len(a)), a).astype(np.uint32)
+    longer = np.concatenate([rng.integers(0, 20_000, 30_000), a]).astype(np.uint32)
+    start = time.perf_counter()
+    assert near_dedup.banded_similarity(a, np.delete(a, [5, 7000, 200_000])) == 1 - 3 / 250_000
+    assert near_dedup.banded_similarity(a, noisy) > 0.97 and 0.88 < near_dedup.banded_similarity(a, longer) < 0.9
+    assert time.perf_counter() - start < 15
