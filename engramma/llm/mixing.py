@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramma.llm.common import documents, staged, text_of
+from engramma.llm.common import documents, fresh, join_spread, row_keyed, staged, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = 3
 MOST = 3
 SEED = "engramma-mix"
+#: Offsets drawn per source.
+OFFSETS = 16
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -34,39 +36,50 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return s.select("_source", "_words", F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(level).alias("_target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, offsets: int = OFFSETS, carry: dict[str, Column] | None = None) -> DataFrame:
     """How often each document enters the mix: systematic sampling within its source.
 
     Documents of a source stand in the order of their size; the running sum of
     their expected copies, target / size of the source each, plus one offset in
-    [0, 1) drawn from ``seed`` and the source, crosses an integer once per copy.
-    In that order each source's words end within about its longest document of
-    the target. The running sum is found from counts per (source, size, part),
+    [0, 1) crosses an integer once per copy. In that order each source's words end within about its longest
+    document of the target; so of ``offsets`` offsets drawn from ``seed`` and the source the one that ends nearest
+    is taken, the first of equal ones. The running sum is found from counts per (source, size, part),
     so that no source, however large, is ranked by one task.
 
-    Returns id, ``size`` (words), ``source_size``, ``target``, ``copies`` and
-    ``taken`` (copies times size). A null text has no words; a null source is a
+    Returns id, ``size`` (words), ``source_size``, ``target``, ``copies``,
+    ``taken`` (copies times size) and the ``carry`` expressions. A null text has no words; a null source is a
     source, the last one. Repeated rows are documents of their own, ordered by
     a hash of the id; reruns agree. Empty table: no rows. Other columns are ignored.
     """
-    rows = staged(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size")), "mix")
-    parts = max(1, min(4096, rows.count() // 1000))
-    rows = rows.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).withColumn("_order", F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")))
-    rows = rows.withColumn("_part", F.floor(F.conv(F.substring("_order", 1, 4), 16, 10).cast("long") * parts / (1 << 16)))
+    carry = carry or {}
+    key = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")).alias("_key")
+    words = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size")
+    rows = staged(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words, *[e.alias(f"_carry_{c}") for c, e in carry.items()]), "mix")
+    parts = max(1, min(1 << 20, rows.count() // 1000))
+    rows = rows.select("*", key, F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")).alias("_order"))
+    rows = rows.withColumn("_part", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
     cells = rows.groupBy("_key", "_size", "_part").agg(F.count("*").alias("_n"))
     sizes = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
     sources = sizes.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("_words")).withColumn("_source", F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)))
-    targets = source_targets(sources).withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n"))).drop("_source")
+    targets = source_targets(sources).select(key, "_words", "_target")
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("_key", "_size", F.coalesce(F.sum("_n").over(before("_key").orderBy("_size")), F.lit(0)).alias("_above")).join(targets, "_key")
     cells = cells.select("_key", "_size", "_part", F.coalesce(F.sum("_n").over(before("_key", "_size").orderBy("_part")), F.lit(0)).alias("_start")).join(sizes, ["_key", "_size"])
     rank = F.row_number().over(Window.partitionBy("_key", "_size", "_part").orderBy("_order", "_id"))
-    rows = rows.withColumn("_rank", rank).join(cells, ["_key", "_size", "_part"])
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_key"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)
     place = (F.col("_above") + F.col("_start") + F.col("_rank")).cast("double")
-    copies = F.floor(place * rate + offset) - F.floor((place - 1) * rate + offset)
-    return rows.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.cast("long").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
+    rows = rows.withColumn("_rank", rank).join(cells, ["_key", "_size", "_part"]).select("_id", "_key", "_size", "_words", "_target", rate.alias("_rate"), place.alias("_place"), *[f"_carry_{c}" for c in carry])
+    rows = staged(rows, "ranked")
+    # One number per source and offset: how far the words that it takes end from the target.
+    drawn = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    crossed = lambda o: F.floor(F.col("_place") * F.col("_rate") + o) - F.floor((F.col("_place") - 1) * F.col("_rate") + o)
+    ends = rows.groupBy("_key").agg(F.first("_target").alias("_t"), *[F.sum(crossed(drawn(k)) * F.col("_size")).alias(f"_end{k}") for k in range(offsets)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_end{k}") - F.col("_t")).alias("far"), F.lit(k).alias("k"), drawn(k).alias("offset")) for k in range(offsets)]))
+    chosen = ends.select("_key", nearest["offset"].alias("_offset"))
+    copies = crossed(F.col("_offset")).cast("long")
+    # One row per source, with no list of rows in it: a join by source would deal a hot source to one task.
+    out = join_spread(rows, rows.groupBy("_key").agg(F.count("*").alias("_rows")).join(chosen, "_key"), "_key", "_rows", rows.count(), "_place")
+    return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,10 +87,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; the rows of one id are its copies."""
-    counts = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_mixed_id").hint("shuffle_hash")
-    out = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """Each row as often as the mix takes it.
+
+    Rows that repeat an id, or have none, are taken each by its own count; a null text has no words and a null source is
+    a source. Columns pass through, whatever their names; empty table: no rows.
+    """
+    key, copies, copy = (fresh(docs, name) for name in ("_row", "_copies", "_copy"))
+    docs = row_keyed(docs, key)
+    counts = mix(docs, carry={key: F.col(key)}).where("copies > 0").select(key, F.col("copies").cast("int").alias(copies))
+    out = docs.join(counts.hint("shuffle_hash"), key)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(key, copies, copy)
 
 
 OP3_SQL = r"""
@@ -95,14 +114,20 @@ WITH d AS (
 s3 AS (
   SELECT *, (sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::BIGINT AS over_, (sum(CASE WHEN capped THEN w ELSE 0 END) OVER ())::BIGINT AS out_ FROM s2
 ), s4 AS (
-  SELECT source, words, CASE WHEN capped THEN cap::DOUBLE ELSE (w * (total - over_))::DOUBLE / (weights - out_)::DOUBLE END AS target,
-         ('0x' || substr(md5('engramma-mix' || coalesce('s' || source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS o
+  SELECT source, words, CASE WHEN capped THEN cap::DOUBLE ELSE (w * (total - over_))::DOUBLE / (weights - out_)::DOUBLE END AS target
   FROM s3
 ), r AS (
-  SELECT d.*, s4.words, s4.target, s4.o, CASE WHEN s4.words > 0 THEN s4.target / s4.words::DOUBLE ELSE 0.0::DOUBLE END AS rate
+  SELECT d.*, s4.words, s4.target, CASE WHEN s4.words > 0 THEN s4.target / s4.words::DOUBLE ELSE 0.0::DOUBLE END AS rate
   FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source
 ), k AS (
   SELECT *, (row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id))::DOUBLE AS place FROM r
-)
-SELECT doc_id, size, words AS source_size, target, ((floor(place * rate + o) - floor((place - 1) * rate + o)) * size)::BIGINT AS taken FROM k
+), o AS (
+  SELECT source, n, ('0x' || substr(md5('engramma-mix' || n || coalesce('s' || source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS o
+  FROM s4, range(16) t(n)
+), e AS (
+  SELECT k.source, o.n, o.o, abs(sum((floor(place * rate + o) - floor((place - 1) * rate + o))::BIGINT * size)::DOUBLE - any_value(target)) AS far
+  FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source GROUP BY k.source, o.n, o.o
+), b AS (SELECT source, o FROM e QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, n) = 1)
+SELECT doc_id, size, words AS source_size, target, ((floor(place * rate + o) - floor((place - 1) * rate + o)) * size)::BIGINT AS taken
+FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source
 """
