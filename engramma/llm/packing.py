@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,34 @@ END = 0
 #: Pieces that are partitioned together, at most.
 BATCH = 1024
 SPECIAL = "<|endoftext|>"
+#: Code points that are encoded at once, where the text can be cut.
+STEP = 1 << 16
+SAFE = re.compile(r"\S(?= )")
+#: Equal rows that one task deals to a batch before it deals them by their place too.
+EQUAL = 64
+
+
+def safe_cuts(text: str, step: int = STEP) -> Iterator[str]:
+    """Parts of a text, about ``step`` long, whose ids joined are the ids of the whole.
+
+    The vocabulary's pattern never lets a piece of other characters run on into a blank, and looks
+    nowhere back; so a text may be cut between a character that is no white space and a blank.
+    """
+    at = 0
+    while len(text) - at > step:
+        found = SAFE.search(text, at + step)
+        if not found:
+            break
+        yield text[at : found.start() + 1]
+        at = found.start() + 1
+    yield text[at:]
 
 
 def encoder(folder: str | None = None):
     """text -> ids as ``tokenizers`` gives them for byte_bpe_50k.json.
 
-    The same vocabulary as ranks is five times as fast in ``tiktoken``; a text
-    with the special token's string goes to ``tokenizers`` itself.
+    The same vocabulary as ranks is five times as fast in ``tiktoken``; what that refuses (very long runs of white
+    space) or would read otherwise (the special token's string) goes to ``tokenizers`` itself. Long texts go part by part.
     """
     import public_tokenizers
     import tiktoken
@@ -40,12 +64,19 @@ def encoder(folder: str | None = None):
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole: list = []
 
+    def exact(text: str) -> np.ndarray:
+        if not whole:
+            whole.append(Tokenizer.from_file(str(path("byte_bpe_50k.json"))))
+        return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     def encode(text: str) -> np.ndarray:
-        if SPECIAL in text:
-            if not whole:
-                whole.append(Tokenizer.from_file(str(path("byte_bpe_50k.json"))))
-            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, disallowed_special=())
+        out = []
+        for part in safe_cuts(text):
+            try:
+                out.append(exact(part) if len(part) > 2 * STEP or SPECIAL in part else fast.encode_to_numpy(part, disallowed_special=()))
+            except ValueError:
+                out.append(exact(part))
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
     return encode
 
@@ -122,7 +153,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     pieces of a quarter window, are dealt by a hash of the id into batches of
     bounded size, and each batch is partitioned into near equal windows by
     Karmarkar-Karp differencing. Texts stay where they are read; only (id, start,
-    length, checksum) per piece is shuffled.
+    length, checksum) per piece is shuffled. Texts that share an id, or have none, are told apart by their
+    ids' checksum, and very many equal rows by their place.
 
     One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. A null text is empty: its one token is the final id 0. Repeated rows
@@ -130,32 +162,37 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark)
     piece = max(1, capacity // 4)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_dir)
+        encode, part, seen = encoder(tokenizer_dir), TaskContext.get().partitionId(), Counter()
         for b in batches:
-            at, start, length, crc, whole = [], [], [], [], []
-            for i, text in enumerate(b.column("_text").to_pylist()):
-                ids = np.append(encode(text), np.uint32(END)).astype("<u4", copy=False)
+            at, start, length, crc, whole, salt = [], [], [], [], [], []
+            for i, (key, text) in enumerate(zip(b.column("_id"), b.column("_text"), strict=True)):
+                ids = np.append(encode(text.as_py()), np.uint32(END)).astype("<u4", copy=False)
+                mark = zlib.crc32(ids)
+                seen[key.as_py(), mark] += 1
+                again = seen[key.as_py(), mark] // EQUAL
+                mark = (mark << 31) + (zlib.crc32(b"%d %d" % (part, again)) >> 1 if again else 0)
                 for s, n in cut(len(ids), capacity, piece):
                     at.append(i)
                     start.append(s)
                     length.append(n)
                     crc.append(zlib.crc32(ids[s : s + n]))
                     whole.append(len(ids))
-            yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, whole)]], names=["_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    salt.append(mark)
+            yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(at, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, whole, salt)]], names=["_id", "start", "length", "ids_crc32", "doc_tokens", "_mark"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     batches = max(1, -(-docs.count() // (BATCH // 4)))
-    pieces = rows.mapInArrow(tokenise, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
-    # The checksum spreads rows that repeat an id.
-    pieces = pieces.withColumn("_batch", F.pmod(F.xxhash64("_id", F.when(F.col("length") < capacity, 0).otherwise(F.col("start"))), F.lit(batches)))
+    pieces = rows.mapInArrow(tokenise, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, _mark long")
+    # The mark tells texts apart that share an id, and rows that are equal in both beyond the first few of a task.
+    pieces = pieces.withColumn("_batch", F.pmod(F.xxhash64("_id", "_mark", F.when(F.col("length") < capacity, 0).otherwise(F.col("start"))), F.lit(batches))).drop("_mark")
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_id", "start", "ids_crc32", "doc_tokens"], kind="stable", ignore_index=True)
+        group = group.sort_values(["_id", "start", "ids_crc32", "doc_tokens"], ignore_index=True)
         sequence = np.zeros(len(group), np.int64)
         full = group["length"].to_numpy() == capacity
         sequence[full] = np.arange(full.sum())
@@ -178,4 +215,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all rows, packed; see ``pack``.
+
+    A null text is the final id alone; rows that repeat an id are packed each, so their pieces share it; other columns
+    are ignored, whatever their names; empty table: no rows.
+    """
     return pack(docs)
