@@ -67,14 +67,89 @@ class ConcurrentModification(EngrammaError):
         super().__init__(f"memory revision changed from {expected} to {actual}")
 
 
+class RevisionExhausted(EngrammaError):
+    def __init__(self):
+        super().__init__("memory snapshot revision is exhausted")
+
+
+class SymbolIdExhausted(EngrammaError):
+    def __init__(self):
+        super().__init__("symbol identifier space is exhausted")
+
+
 class InvalidStore(EngrammaError):
-    """Persisted data that breaks an invariant; nothing is repaired."""
+    """Persisted data that breaks an invariant; nothing is repaired. The kinds below carry what a caller can act on."""
 
     def __init__(self, detail: str):
         self.detail = detail
         super().__init__(f"invalid memory store: {detail}")
 
 
+class MissingMetadata(InvalidStore):
+    def __init__(self):
+        super().__init__("memory metadata row is missing")
+
+
+class UnsupportedFormatVersion(InvalidStore):
+    def __init__(self, found):
+        self.found = found
+        super().__init__(f"unsupported memory format version {found}")
+
+
+class Unreadable(InvalidStore):
+    """A segment that the manifest names cannot be read."""
+
+    def __init__(self, detail: str):
+        super().__init__(f"segment check failed: {detail}")
+
+
+class InvalidEncoding(InvalidStore):
+    def __init__(self, table: str, column: str):
+        self.table, self.column = table, column
+        super().__init__(f"invalid encoding in {table}.{column}")
+
+
+class InvalidMemoryId(InvalidStore):
+    def __init__(self):
+        super().__init__("invalid persisted memory ID")
+
+
+class InvalidMetadata(InvalidStore):
+    def __init__(self, detail: str):
+        super().__init__(f"invalid metadata: {detail}")
+        self.detail = detail
+
+
+class NonContiguousEpisodeSequence(InvalidStore):
+    def __init__(self, expected: int, found: int):
+        self.expected, self.found = expected, found
+        super().__init__(f"expected episode sequence {expected}, found {found}")
+
+
+class NonContiguousSymbolId(InvalidStore):
+    def __init__(self, expected: int, found: int):
+        self.expected, self.found = expected, found
+        super().__init__(f"expected symbol identifier {expected}, found {found}")
+
+
+class InvalidSymbol(InvalidStore):
+    def __init__(self, id: int, detail: str):
+        super().__init__(f"invalid symbol {id}: {detail}")
+        self.id, self.detail = id, detail
+
+
+class InvalidEpisode(InvalidStore):
+    def __init__(self, sequence: int, detail: str):
+        super().__init__(f"invalid episode {sequence}: {detail}")
+        self.sequence, self.detail = sequence, detail
+
+
+class InvalidFeedback(InvalidStore):
+    def __init__(self, source: int, target: int, detail: str):
+        super().__init__(f"invalid feedback edge {source}->{target}: {detail}")
+        self.source, self.target, self.detail = source, target, detail
+
+
 class EpisodeDecodeError(EngrammaError):
     def __init__(self, detail: str):
         self.detail = detail

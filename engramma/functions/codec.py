@@ -87,14 +87,23 @@ def decode(data: bytes) -> tuple[int, Attributes]:
     return timestamp, out
 
 
-def encoded(timestamp_ms: Column, attributes: Column) -> Column:
-    """The payload of a canonical episode: array<struct<key long, values array<long>>>."""
+def _count_hex(n: Column) -> Column:
+    """Hex digits of a count as ULEB128, seven bits a byte; counts are under 2^35, as arrays are."""
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    n = n.cast("long")
+    parts = [F.shiftrightunsigned(n, 7 * k) for k in range(5)]
+    rest = byte(parts[4])
+    for k in (3, 2, 1, 0):
+        low = parts[k].bitwiseAND(F.lit(127).cast("long"))
+        rest = F.when(parts[k] < 128, byte(parts[k])).otherwise(F.concat(byte(low.bitwiseOR(F.lit(128).cast("long"))), rest))
+    return rest
 
-    @F.pandas_udf("binary")
-    def apply(times: pd.Series, attrs: pd.Series) -> pd.Series:
-        return pd.Series([encode(int(t), [(int(x["key"]), [int(v) for v in x["values"]]) for x in a]) for t, a in zip(times, attrs, strict=True)])
 
-    return apply(timestamp_ms, attributes)
+def encoded(timestamp_ms: Column, attributes: Column) -> Column:
+    """The payload of a canonical episode: array<struct<key long, values array<long>>>; an expression without Python."""
+    wide = lambda v: F.lpad(F.hex(v), 16, "0")
+    one = lambda a: F.concat(wide(a["key"]), _count_hex(F.size(a["values"])), F.array_join(F.transform(a["values"], wide), ""))
+    return F.unhex(F.concat(wide(timestamp_ms.cast("long")), _count_hex(F.size(attributes)), F.array_join(F.transform(attributes, one), "")))
 
 
 def decoded(payload: Column) -> Column:

@@ -24,9 +24,13 @@ def activation(structural: Column, learned: Column) -> Column:
     return F.least(F.greatest(structural + learned, F.lit(0).cast("long")), F.lit(P.MAX_SCORE).cast("long"))
 
 
+def ppm_is_valid(ppm: Column) -> Column:
+    return ppm.between(0, P.SCALE)
+
+
 def checked_ppm(ppm: Column) -> Column:
     message = F.concat(F.lit("fixed-point value "), ppm.cast("string"), F.lit(f" exceeds {P.SCALE}"))
-    return F.when(ppm.between(0, P.SCALE), ppm).otherwise(F.raise_error(message).cast("long"))
+    return F.when(ppm_is_valid(ppm), ppm).otherwise(F.raise_error(message).cast("long"))
 
 
 def helpful_count(bits: Column) -> Column:

@@ -19,6 +19,10 @@ EMPTY = "symbol value is empty after normalization"
 HAS_CONTROL = "symbol value contains a control character"
 TOO_LONG = "symbol value exceeds 4096 normalized UTF-8 bytes"
 
+# What Unicode 16.0 adds to version 15.1 in lower case pairs, and in outlined capitals and digits.
+LOWER_16 = {0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B, 0x1C89: 0x1C8A} | {0x10D50 + i: 0x10D70 + i for i in range(22)}
+COMPATIBLE_16 = {0x1CCD6 + i: 0x41 + i for i in range(26)} | {0x1CCF0 + i: 0x30 + i for i in range(10)}
+
 _words = re.compile(f"[^{SPACE}]+")
 _control = re.compile(f"[{CONTROL}]")
 
@@ -30,7 +34,8 @@ def normalise(text: str) -> tuple[str | None, str | None]:
     NFKC, white space runs to one space. What comes first in the text decides
     between a control character and excess length.
     """
-    folded = unicodedata.normalize("NFKC", "".join(c.lower() for c in unicodedata.normalize("NFKC", text)))
+    plain = unicodedata.normalize("NFKC", text.translate(COMPATIBLE_16))
+    folded = unicodedata.normalize("NFKC", "".join(c.lower() for c in plain.translate(LOWER_16)))
     out = " ".join(_words.findall(folded))
     bad = _control.search(out)
     if bad and len(out[: bad.start()].encode()) <= MAX_SYMBOL_BYTES:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engramma.functions.symbols import normalised
 from engramma.sources.stage import numbered
 
+#: The greatest id: ids are signed 64-bit numbers inside.
+MAX_ID = (1 << 63) - 1
+
 
 def normalised_batch(texts: DataFrame, text: str = "text", pos: str = "pos") -> tuple[DataFrame, DataFrame]:
     """(rows (pos, value), rejected rows (pos, detail)) of a batch; each distinct text is normalised once."""
@@ -16,6 +19,25 @@ def normalised_batch(texts: DataFrame, text: str = "text", pos: str = "pos") ->
     return rows.where("detail is null").select("pos", "value"), rows.where("detail is not null").select("pos", "detail")
 
 
+def batch_positions(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(unique values (place, value) by first occurrence, (pos, place) of every row) of normalised rows (pos, value)."""
+    first = batch.groupBy("value").agg(F.min("pos").alias("_first"))
+    unique = numbered(first, "place", "_first").select("place", "value")
+    return unique, batch.join(unique, "value").select("pos", "place")
+
+
+def allocated(tail: Column, count: Column, most: int = MAX_ID) -> Column:
+    """struct(first, last) of ``count`` ids after ``tail`` of them are taken; null if the ids up to ``most`` do not suffice."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    last = wide(tail) + wide(count) - 1
+    return F.when((count > 0) & (last <= F.lit(str(most)).cast("decimal(20,0)")), F.struct(tail.cast("long").alias("first"), last.cast("long").alias("last")))
+
+
+def tail_of(table: DataFrame, id_col: str = "id") -> DataFrame:
+    """(rows, tail): how many rows, and the id that follows the greatest; equal for an exact prefix."""
+    return table.agg(F.count("*").alias("rows"), F.coalesce(F.max(id_col) + 1, F.lit(0)).cast("long").alias("tail"))
+
+
 def interned(batch: DataFrame, catalog: DataFrame, tail: int) -> tuple[DataFrame, DataFrame]:
     """(ids (pos, id), new symbols (id, value)) of normalised rows (pos, value).
 

@@ -48,6 +48,16 @@ def empty_parts(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("detail", detail).where("detail is not null")
 
 
+def unknown_symbols(episodes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Distinct keys and values (value) of episodes that the catalog (id) lacks."""
+    return dangling(key_values(episodes).select(F.explode(F.array("key", "value")).alias("v")), "v", symbols, "id")
+
+
+def scanned(episodes: DataFrame, reverse: bool = False) -> DataFrame:
+    """All episodes in the order of their sequence, or against it."""
+    return episodes.orderBy(F.desc("seq") if reverse else F.asc("seq"))
+
+
 def appended(drafts: DataFrame, tail: int, *order: str) -> DataFrame:
     """Give drafts the sequences tail, tail + 1, ... in batch order; equal contents stay distinct."""
     return numbered(drafts, "seq", *order, start=tail)

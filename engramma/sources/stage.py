@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,22 +13,33 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir of the session; a folder of our own only where it is unset and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="engramma-")
-    return _own[app]
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="engramma-")
+    return _own[context.applicationId]
+
+
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new folder for a table of this application, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/engramma/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = made.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(made)
+    files.deleteOnExit(made)
+    return path
 
 
 def staged(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """Write ``df`` and read it back, sorted in its files by ``keys`` so that filters on them skip row groups."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/engramma/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = folder_for(df.sparkSession, name) + "/table"
     (df.sortWithinPartitions(*keys) if keys else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str, *order: str, start: int = 0) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import given, settings
@@ -15,7 +16,7 @@ from engramma.functions import codec, ids, scores
 from engramma.functions.symbols import normalise
 from engramma.operators import cues, episodes, feedback, recall
 from engramma.sources.stage import numbered
-from engramma.sources.store import MemoryStore
+from engramma.sources.store import SCHEMAS, MemoryStore
 from engramma.streaming.feedback import stream_traces
 
 
@@ -169,21 +170,150 @@ def test_store_life(spark, store):
     assert again.recall_from(0, 0) == []
 
 
-def test_store_rejects_corruption(spark, store):
-    store.insert_texts([(5, [("a", ["b"])])])
-    store.save()
-    bad = spark.createDataFrame([(0, 0, 1, 1)], "from_seq long, to_seq long, history_bits long, sample_count long")
-    bad.write.parquet(f"{store.path}/bad")
-    name = f"{store.path}/_manifest.{1:010d}.json"
-    manifest = json.load(open(name)) | {"feedback": ["bad"]}
+def tamper(spark, store, manifest=None, **tables):
+    """Write tables beside a saved store's own and put them, and other changes, into its newest manifest."""
+    name = f"{store.path}/_manifest.{store.revision:010d}.json"
+    found = json.load(open(name))
+    for table, (rows, schema) in tables.items():
+        tag = f"v{99:010d}-{'a' * 12}"
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{store.path}/{tag}/{table}")
+        found[table] = [f"{tag}/{table}"]
+        if table != "feedback":
+            found[table[:-1] + "_count"] = len(rows)
+    found |= manifest or {}
     os.remove(name)
-    crc = f"{store.path}/._manifest.{1:010d}.json.crc"
-    if os.path.exists(crc):
-        os.remove(crc)
-    json.dump(manifest, open(name, "w"))
-    with pytest.raises(errors.InvalidStore, match="self edge"):
+    json.dump({k: v for k, v in found.items() if v is not ...}, open(name, "w"))
+
+
+EDGES, SYMBOLS, EPISODES = (SCHEMAS[t] for t in ("feedback", "symbols", "episodes"))
+BROKEN = [
+    ({"feedback": ([(0, 0, 1, 1, 1)], EDGES)}, errors.InvalidFeedback, "self edge"),
+    ({"feedback": ([(0, 7, 1, 1, 1)], EDGES)}, errors.InvalidFeedback, "0->7: unknown endpoint"),
+    ({"feedback": ([(0, 1, 2, 1, 1)], EDGES)}, errors.InvalidFeedback, "trace is not canonical"),
+    ({"feedback": ([(0, 1, 1, 1)], "from_seq long, to_seq long, history_bits long, sample_count long")}, errors.InvalidEncoding, "feedback.revision"),
+    ({"feedback": ([("0", 1, 1, 1, 1)], EDGES.replace("from_seq long", "from_seq string"))}, errors.InvalidEncoding, "feedback.from_seq"),
+    ({"symbols": ([(0, "a"), (2, "b")], SYMBOLS)}, errors.NonContiguousSymbolId, "expected symbol identifier 1, found 2"),
+    ({"symbols": ([(0, "A"), (1, "b")], SYMBOLS)}, errors.InvalidSymbol, "symbol 0: symbol value is not canonical"),
+    ({"symbols": ([(0, "a"), (1, "a")], SYMBOLS)}, errors.InvalidSymbol, "repeated"),
+    ({"symbols": ([(0, "a", 1), (1, "b", 1)], SYMBOLS + ", more int")}, errors.InvalidMetadata, "schema differs"),
+    ({"symbols": ([(0, "a")], SYMBOLS)}, errors.InvalidEpisode, "episode 0: unknown symbol 1"),
+    ({"episodes": ([(0, 5, [(0, [1])]), (2, 5, [(0, [1])])], EPISODES)}, errors.NonContiguousEpisodeSequence, "expected episode sequence 1, found 2"),
+    ({"episodes": ([(0, 5, [(0, [1, 0])])], EPISODES)}, errors.InvalidEpisode, "not canonical"),
+    ({"episodes": ([(0, 5, [])], EPISODES)}, errors.InvalidEpisode, "not canonical"),
+    ({"manifest": {"memory_id": "0" * 32}}, errors.InvalidMemoryId, ""),
+    ({"manifest": {"revision": -1}}, errors.InvalidMetadata, "negative"),
+    ({"manifest": {"revision": 5}}, errors.InvalidMetadata, "manifest's name"),
+    ({"manifest": {"symbol_count": ...}}, errors.InvalidEncoding, "manifest.symbol_count"),
+    ({"manifest": {"format_version": 5}}, errors.UnsupportedFormatVersion, "5"),
+    ({"manifest": {"format_version": ...}}, errors.MissingMetadata, ""),
+    ({"manifest": {"episode_count": 9}}, errors.InvalidMetadata, "row counts"),
+    ({"manifest": {"more": 1}}, errors.InvalidMetadata, "schema differs"),
+    ({"manifest": {"symbols": ["v0000000077-aaaaaaaaaaaa/symbols"]}}, errors.Unreadable, "v0000000077"),
+]
+
+
+@pytest.mark.parametrize("broken", range(len(BROKEN)))
+def test_store_rejects_corruption(spark, store, broken):
+    change, kind, message = BROKEN[broken]
+    store.insert_texts([(5, [("a", ["b"])]), (5, [("a", ["b"])])])
+    store.save()
+    tamper(spark, store, **change)
+    with pytest.raises(kind, match=message):
         MemoryStore.open(spark, store.path)
 
+def test_store_schema_is_closed(spark, store):
+    spark.range(1).write.parquet(f"{store.path}/strange")
+    with pytest.raises(errors.InvalidMetadata, match="schema differs"):
+        MemoryStore.open(spark, store.path)
+
+
+def test_one_of_eight_creators_wins(spark, tmp_path):
+    def create(_):
+        try:
+            return MemoryStore.create(spark, f"{tmp_path}/shared").memory_id
+        except errors.EngrammaError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        made = [m for m in pool.map(create, range(8)) if m]
+    assert len(made) == 1 and MemoryStore.open(spark, f"{tmp_path}/shared").memory_id == made[0]
+
+
+def test_a_half_written_manifest_is_never_seen(spark, store):
+    open(f"{store.path}/_aside-{'0' * 32}", "w").write("{")
+    assert MemoryStore.open(spark, store.path).revision == 0
+
+
+def test_saves_write_only_changed_edges(spark, store):
+    store.insert_texts([(i, [("key", [f"value {i}"])]) for i in range(1000)])
+    for i in range(999):
+        store.apply_feedback(i, [i + 1], i % 2 == 0)
+    assert store.save() == 1
+    again = MemoryStore.open(spark, store.path)
+    assert again.feedback_edges().count() == 999 and [r["seq"] for r in again.scan(reverse=True).limit(3).collect()] == [999, 998, 997]
+    again.apply_feedback(3, [4, 5], True)
+    again.set_feedback_trace(0, 1, 1, 1)  # as it is: nothing to write
+    assert again.set_feedback_trace(6, 7, 5, 3) == (1, 1) and again.feedback_trace(6, 7) == (5, 3)
+    assert sorted(tuple(r) for r in again.changed_edges().collect()) == [(3, 4, 1, 2), (3, 5, 1, 1), (6, 7, 5, 3)]
+    assert again.save() == 2
+    last = spark.read.parquet(f"{store.path}/{again._manifest['feedback'][-1]}")
+    assert last.count() == 3 and MemoryStore.open(spark, store.path).feedback_edges().count() == 1000
+    assert again.save() == 3 and len(again._manifest["feedback"]) == 2
+
+
+def test_failed_saves_keep_local_state(spark, store):
+    store.insert_texts([(5, [("a", ["b"])])])
+    store.save()
+    other = MemoryStore.open(spark, store.path)
+    other.save()
+    store.insert_texts([(6, [("a", ["c"])])])
+    with pytest.raises(errors.ConcurrentModification) as e:
+        store.save()
+    assert (e.value.expected_revision, e.value.actual_revision) == (1, 2) and store.episode_count == 2 and store.symbol_values([2]) == ["c"]
+
+
+def test_exhaustion(spark, store, monkeypatch):
+    monkeypatch.setattr(store, "_manifest", store._manifest | {"symbol_count": (1 << 63) - 1})
+    store.spark = spark
+    monkeypatch.setattr(store, "_table", lambda name, checked=False: spark.createDataFrame([], SCHEMAS[name]))
+    assert store.intern_symbols(["one"]) == [(1 << 63) - 1]
+    with pytest.raises(errors.SymbolIdExhausted):
+        store.intern_symbols(["two"])
+    monkeypatch.setattr(store, "_manifest", store._manifest | {"episode_count": 1 << 63})
+    with pytest.raises(errors.IdExhausted):
+        store.insert_episode(0, [(0, [0])])
+
+
+def test_warm_index_takes_new_episodes(spark, store):
+    store.insert_texts([(5, [("a", ["b"])]), (5, [("a", ["c"])])])
+    assert store.recall_from(0) == [(1, 80000)]
+    known = store._index[0]
+    store.insert_texts([(5, [("a", ["b"])])])
+    assert store.recall_from(0) == [(2, 400000), (1, 80000)] and store._index[0] is not known
+    store.save()
+    assert store.recall_from(2) == [(0, 400000), (1, 80000)]
+
+
+def test_eleven_hits_and_wide_episodes(spark):
+    rows = [[(i, [100 + i])] for i in range(12)]
+    samples = [16, 15, 14, 13, 12, 11, 10, 9, 8, 8, 7]
+    edges = [(i + 1, (1 << n) - 1, n) for i, n in enumerate(samples)]
+    want = [400000, 392045, 383333, 373750, 363157, 351388, 338235, 323437, 306666, 306666, 287500]
+    assert hits(spark, rows, 0, 11, edges) == [(i + 1, v) for i, v in enumerate(want)] and len(hits(spark, rows, 0, edges=edges)) == 10
+    assert hits(spark, [[(1, [2])], [(1, list(range(2, 904)))]], 0) == [(1, 664)]
+
+
+def test_recall_of_all_equals_recall_of_each(spark):
+    rng = random.Random(11)
+    for case in range(4):
+        contents = [sorted({(k, v) for k in rng.sample(range(4), rng.randrange(1, 4)) for v in rng.sample(range(100, 100 + 3 + 4 * case), rng.randrange(1, 3))}) for _ in range(60)]
+        kv = spark.createDataFrame([(s, k, v) for s, c in enumerate(contents) for k, v in c] + [(60, 77, 78), (61, 0, 100)], "seq long, key long, value long")
+        edges = spark.createDataFrame(list({(a, b): (a, b, rng.randrange(1 << 4), 4) for a, b in ((rng.randrange(62), rng.randrange(62)) for _ in range(150)) if a != b}.values()), "from_seq long, to_seq long, history_bits long, sample_count long")
+        index = cues.episode_cues(kv).cache()
+        for limit in (1, 3, 50):
+            want = recall.recall(index, cues.cue_counts(index), edges, kv.select(F.col("seq").alias("src")), limit)
+            assert sorted(map(tuple, recall.recall_all(index, edges, limit).collect())) == sorted(map(tuple, want.collect()))
+
 
 def test_command_line(spark, tmp_path):
     path = f"{tmp_path}/cli"
@@ -204,6 +334,43 @@ def test_command_line(spark, tmp_path):
     assert run("add", path, "--many", stdin="--attribute a\n")[0] == 1 and run("add", path, "--many", stdin="'open\n")[0] == 1
 
 
+def test_add_many_is_all_or_nothing(spark, tmp_path):
+    path = f"{tmp_path}/cli"
+    cli.main(["init", path], lambda: spark, io.StringIO(), io.StringIO(), io.StringIO())
+    err = io.StringIO()
+    many = "--attribute a --value b\n\n--attribute a --value ' '\n"
+    assert cli.main(["add", path, "--many"], lambda: spark, io.StringIO(many), io.StringIO(), err) == 1 and "index 3" in err.getvalue()
+    store = MemoryStore.open(spark, path)
+    assert (store.revision, store.episode_count) == (0, 0)
+
+
+FLAGS = [
+    ("--attribute a", "attribute requires at least one `--value` value"), ("--attribute a --attribute b --value c", "attribute requires at least one `--value` value"), ("--attribute a --timestamp 1", "attribute requires at least one `--value` value"),
+    ("--value x", "`--value` must immediately follow its attribute and values"), ("--attribute a --value b --timestamp 1 --value c", "`--value` must immediately follow its attribute and values"),
+    ("--attribute", "`--attribute` requires a value"), ("--attribute a --value", "`--value` requires a value"), ("--quiet --quiet", "`--quiet` may be specified only once"), ("--timestamp 1 --timestamp 2", "`--timestamp` may be specified only once"),
+    ("--timestamp x --bad y", "invalid Unix timestamp"), ("--bad y", "unknown episode option `--bad`"), ("--bad", "`--bad` requires a value"), ("--attribute a --bad y", "attribute requires at least one `--value` value"), ("--timestamp 3", "episode requires at least one `--attribute`"), ("", "episode requires at least one `--attribute`"),
+    ("--attribute a --quiet", "attribute requires at least one `--value` value"), ("--quiet --attribute a --value b --quiet", "`--quiet` may be specified only once"),
+]
+
+
+@pytest.mark.parametrize("line,message", FLAGS)
+def test_episode_flag_faults(line, message):
+    with pytest.raises(cli.Usage) as e:
+        cli.episode_flags(line.split(), False)
+    assert str(e.value) == message
+
+
+def test_episode_flags():
+    assert cli.episode_flags("--timestamp 0 --attribute --value --value --quiet --value x --quiet".split(), False) == ((0, [("--value", ["--quiet", "x"])]), True)
+    assert cli.episode_flags("--attribute a --value b --timestamp -7 --attribute a --value c".split(), True) == ((-7, [("a", ["b"]), ("a", ["c"])]), False)
+    with pytest.raises(cli.Usage, match="not valid inside"):
+        cli.episode_flags("--attribute a --quiet".split(), True)
+    for options, message in ((["--many"], "only once"), (["--value"], "cannot be combined"), (["--quiet", "--quiet"], "only once")):
+        with pytest.raises(cli.Usage, match=message):
+            cli.many_flags(options)
+    assert cli.many_flags(["--quiet"]) and not cli.many_flags([])
+
+
 def test_shell_words():
     assert cli.shell_words("a 'b c' \"d\\\"e\" f\\ g h#i # rest") == ["a", "b c", 'd"e', "f g", "h#i"]
     assert cli.shell_words("'x") is None and cli.shell_words("x\\") is None and cli.shell_words("''") == [""]
