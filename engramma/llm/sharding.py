@@ -8,11 +8,14 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engramma.llm.common import documents, staged, text_of
+from engramma.llm.common import documents, row_keyed, staged, text_of
 
-#: Groups of equal texts are ordered by hash and summed in so many ranges of it
-#: at most, so that the sizes searched over fit the driver at any input size.
-RANGES = 1 << 16
+#: Bits of a group's hash that its first range has, and bits by which a range that may hold a cut is split.
+FIRST_BITS, MORE_BITS = 16, 8
+#: Ranges and groups held on the driver at most; a search that would need more ends with the ranges it has.
+MOST_ATOMS = 1 << 20
+#: Rows of a file that are numbered together.
+CELL = 1 << 13
 
 
 def feasible(ends: list[int], capacity: int, shards: int) -> bool:
@@ -66,60 +69,118 @@ def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     return cuts
 
 
-def plan_shards(ranges: dict[int, int], largest: list[tuple[int, int, int]], shards: int) -> tuple[dict[int, int], list[int]]:
-    """Shards of groups above an equal share, and the cuts between the hash ranges of the rest.
+def _ends(ends: list[int], splits: list[bool], capacity: int, shards: int, inside: bool) -> list[int]:
+    """Where greedy runs of ``capacity`` end, in bytes: at ends of atoms; with ``inside`` also anywhere in an atom that can be split."""
+    at, out = 0, []
+    for _ in range(shards):
+        i = bisect_right(ends, at + capacity)
+        at = max(at, ends[i - 1] if i else 0)
+        if inside and i < len(ends) and splits[i]:
+            at = max(at, out[-1] if out else 0, min((out[-1] if out else 0) + capacity, ends[i]))
+        out.append(at)
+    return out
+
+
+def _least(ends: list[int], splits: list[bool], shards: int, inside: bool) -> int:
+    """Least capacity whose greedy runs reach the end."""
+    low, high = 0, ends[-1]
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if _ends(ends, splits, middle, shards, inside)[-1] >= ends[-1] else (middle + 1, high)
+    return low
+
+
+def open_atoms(sizes: list[int], splits: list[bool], shards: int) -> list[int]:
+    """Atoms to split before the smallest capacity over the groups is known; none if it is.
+
+    It lies between the least capacity if cuts could fall anywhere in an atom of several groups, and the least with
+    cuts between atoms. The k-th cut of every capacity in between lies between those of the two.
+    """
+    if not sizes:
+        return []
+    ends = list(accumulate(sizes))
+    low, high = _least(ends, splits, shards, True), _least(ends, splits, shards, False)
+    if low == high:
+        return []
+    first, last = _ends(ends, splits, low, shards, False), _ends(ends, splits, high, shards, True)
+    out: set[int] = set()
+    for a, b in zip(first, last, strict=True):
+        out |= set(range(bisect_right(ends, a), min(len(ends), bisect_right(ends, b) + 1)))
+    return sorted(i for i in out if splits[i])
+
+
+def group_cuts(groups: DataFrame, shards: int) -> list[int]:
+    """First hash of shards 1, 2, ...: minimax runs over the groups (_h, _bytes) in the order of their hash.
 
-    ``ranges``: size by range; ``largest``: (group, range, size) of the largest groups, by size.
+    The groups are summed by ranges of the hash; only ranges in which a cut may fall are split,
+    until the smallest feasible capacity over the groups is found, at ranges as narrow as it takes.
     """
-    left, total, alone = shards, sum(ranges.values()), {}
-    ranges = dict(ranges)
-    for group, where, size in sorted(largest, key=lambda g: (-g[2], g[0])):
-        if left <= 1 or size * left <= total:
+
+    def summed(df: DataFrame, bits: int) -> list[tuple[int, int, int, bool]]:
+        """(first hash, bits, bytes, several groups) of ranges."""
+        got = df.groupBy(F.shiftright("_h", 64 - bits).alias("_p")).agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")).collect()
+        return [(r["_p"] << (64 - bits), bits, r["b"], r["n"] > 1 and bits < 64) for r in got]
+
+    atoms = sorted(summed(groups, FIRST_BITS))
+    while True:
+        at = open_atoms([a[2] for a in atoms], [a[3] for a in atoms], shards)
+        if not at or len(atoms) + (len(at) << MORE_BITS) > MOST_ATOMS:
             break
-        alone[group] = len(alone)
-        ranges[where] -= size
-        total, left = total - size, left - 1
-    keys = sorted(ranges)
-    cuts = minimax_cuts([ranges[k] for k in keys], left)
-    return alone, [keys[c] if c < len(keys) else RANGES for c in cuts]
+        split, by_bits = set(at), {}
+        for i in at:
+            by_bits.setdefault(atoms[i][1], []).append(atoms[i][0] >> (64 - atoms[i][1]))
+        atoms = [a for i, a in enumerate(atoms) if i not in split]
+        for bits, prefixes in by_bits.items():
+            wanted = groups.sparkSession.createDataFrame([(p,) for p in prefixes], "_w long")
+            atoms += summed(groups.join(F.broadcast(wanted), F.shiftright("_h", 64 - bits) == F.col("_w"), "left_semi"), min(64, bits + MORE_BITS))
+        atoms.sort()
+    cuts = minimax_cuts([a[2] for a in atoms], shards)
+    return [atoms[c][0] if c < len(atoms) else 1 << 63 for c in cuts]
+
+
+def giants(largest: list[tuple[int, int]], total: int, shards: int) -> list[int]:
+    """Groups, of the (group, bytes) of the largest ones, that exceed an equal share of what the larger ones leave."""
+    out: list[int] = []
+    for group, size in sorted(largest, key=lambda g: (-g[1], g[0])):
+        if shards - len(out) <= 1 or size * (shards - len(out)) <= total:
+            break
+        out.append(group)
+        total -= size
+    return out
 
 
 def shard(docs: DataFrame, shards: int = 24, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal documents into shards of near equal bytes; equal texts share a shard.
 
-    The atoms are groups of equal texts in the order of their hash. A group above
-    an equal share gets a shard of its own (fewer than ``shards`` can be); over
-    the others, summed in at most RANGES hash ranges, the smallest feasible
+    The atoms are groups of equal texts. In their order, those above an equal share come first, by size, each a shard
+    of its own (fewer than ``shards`` can be); the others follow by their hash. Over these the smallest feasible
     capacity is found by binary search with a greedy check, and the cuts are made.
 
     Returns id, ``size`` (UTF-8 bytes plus 8), ``text_crc32``, ``shard`` and
-    ``slot``, gapless from 0 in each shard in an order that reruns repeat. A null
+    ``slot``, gapless from 0 in each shard in the order of the files; reruns over the same files agree. A null
     text is empty. Rows that repeat an id are documents of their own. Empty table:
     no rows. Other columns are ignored.
     """
     text = text_of(text_col)
-    rows = staged(
-        docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 8).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_h")),
-        "shard",
-    )
-    where = F.shiftrightunsigned(F.col("_h"), 48).cast("int")
-    groups = rows.groupBy("_h").agg(F.sum("_size").alias("_bytes")).withColumn("_range", where)
-    largest = [(r["_h"], r["_range"], r["_bytes"]) for r in groups.orderBy(F.desc("_bytes"), "_h").limit(shards).collect()]
-    ranges = {r["_range"]: r["_bytes"] for r in rows.groupBy(where.alias("_range")).agg(F.sum("_size").alias("_bytes")).collect()}
-    alone, cuts = plan_shards(ranges, largest, shards)
+    keyed = row_keyed(docs.select(F.col(id_col).alias("_id"), F.col(text_col)))
+    rows = staged(keyed.select("_row", "_id", (F.octet_length(text).cast("long") + 8).alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_h")), "shard")
+    groups = staged(rows.groupBy("_h").agg(F.sum("_size").alias("_bytes")), "groups")
+    largest = [(r["_h"], r["_bytes"]) for r in groups.orderBy(F.desc("_bytes"), "_h").limit(shards).collect()]
+    alone = giants(largest, groups.agg(F.sum("_bytes")).first()[0] or 0, shards)
+    cuts = group_cuts(groups.where(~F.col("_h").isin(alone)) if alone else groups, shards - len(alone))
     at = F.lit(len(alone))
     for cut in cuts:
-        at = at + (F.col("_range") >= cut).cast("int")
-    for group, own in alone.items():
+        at = at + (F.col("_h") >= cut).cast("int") if cut < 1 << 63 else at
+    for own, group in enumerate(alone):
         at = F.when(F.col("_h") == group, own).otherwise(at)
-    # Slots: rank within a cell of a shard plus the rows of the cells before it.
-    cells = max(1, min(1 << 16, rows.count() // (shards * 500)))
-    rows = rows.withColumn("_range", where).select("_id", "_size", "_crc", at.alias("_shard"), F.pmod(F.xxhash64("_id", "_crc"), F.lit(cells)).alias("_cell"))
-    counts = rows.groupBy("_shard", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_shard", "_cell").orderBy("_id", "_crc", "_size")))
-    return ranked.join(starts, ["_shard", "_cell"]).select(
+    # Slots: place among a shard's rows of a stretch of a file, plus the shard's rows before it; no stretch is longer than CELL.
+    cell = ["_shard", "_file", "_part"]
+    rows = rows.select("_id", "_size", "_crc", at.alias("_shard"), F.col("_row.file").alias("_file"), F.col("_row.at").alias("_at"), F.floor(F.col("_row.at") / CELL).alias("_part"))
+    counts = rows.groupBy(*cell).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_shard").orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*cell).orderBy("_at")))
+    return ranked.join(starts, cell).select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").cast("int").alias("shard"), (F.col("_start") + F.col("_rank") - 1).cast("long").alias("slot")
     )
 

@@ -46,8 +46,9 @@ def texts(words):
 
 
 @pytest.fixture(scope="module")
-def docs(spark, texts):
-    return spark.createDataFrame(rows(texts), SCHEMA).repartition(4)
+def docs(spark, texts, tmp_path_factory):
+    spark.createDataFrame(rows(texts), SCHEMA).repartition(4).write.parquet(path := f"{tmp_path_factory.mktemp('docs')}/documents.parquet")
+    return spark.read.parquet(path)
 
 
 def sql(docs, query):
@@ -107,6 +108,32 @@ def test_minimax_is_optimal():
         assert cuts == sorted(cuts) and max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)) == best(sizes, k)
 
 
+def test_cuts_over_groups_are_optimal(spark):
+    rng = random.Random(12)
+    for case, shards in enumerate((3, 5, 24)):
+        groups = sorted((rng.randrange(-(1 << 63), 1 << 63) if case else rng.randrange(1 << 40), rng.randrange(1, 30) ** 2) for _ in range(700))
+        frame = spark.createDataFrame(groups, "_h long, _bytes long")
+        cuts = sharding.group_cuts(frame, shards)
+        sums = [0] * shards
+        for h, size in groups:
+            sums[sum(h >= c for c in cuts)] += size
+        assert max(sums) == sharding.smallest_capacity([size for _, size in groups], shards)
+
+
+def test_sharding_balance_and_giants(spark):
+    rng = random.Random(13)
+    texts = ["x" * rng.randrange(0, 400) + str(i) for i in range(3000)] + ["big" * 30_000] * 2 + [None] * 50
+    got = sharding.shard(spark.createDataFrame([(None if i % 3 == 0 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string"), 24).collect()
+    sums, counts = Counter(), Counter()
+    for r in got:
+        sums[r["shard"]] += r["size"]
+        counts[r["shard"]] += 1
+    assert len(got) == len(texts) and sums[0] == 2 * 90_008 and sum(sums.values()) == sum(len(t or "") + 8 for t in texts)
+    rest = [sums[s] for s in range(1, 24)]
+    assert max(rest) - min(rest) <= 2 * 50 * 8 + 410
+    assert all(sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts[s])) for s in counts)
+
+
 def test_mixing_sql_and_bounds(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "documents", lambda s, d: docs)
     got = sorted(map(tuple, mixing.op3_mixing(spark, "").collect()))
