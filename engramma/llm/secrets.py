@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
-from bisect import bisect_left, bisect_right
-from collections import defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +23,7 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST_PIECE = 16
 #: What joins a credential to its name or to a path within a run of candidate characters.
 JOINS = "+/_=-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,7 +38,16 @@ FORMATS = {
     "payment": ("sk_live_", UPPER + LOWER + DIGITS, (24,)),
     "chat": ("xoxb-", DIGITS + UPPER + LOWER, (40,)),
     "key40": ("", UPPER + LOWER + DIGITS + "+/", (40,)),
+    "token": ("", UPPER + LOWER + DIGITS, tuple(range(20, 65))),
 }
+#: Base hits of the corpus that join the labelled credentials at most, those with the least hash.
+SAMPLE = 2000
+#: Nats by which a piece of no fixed start must be likelier as a credential than as words: credentials are rare.
+MARGIN = 6.0
+#: Evidence that a fixed start is worth.
+SURE = 1000.0
+#: Characters that a piece spans at most, where its automaton has no longest credential.
+REACH = 512
 
 
 def labelled_credentials(per_format: int = 300, seed: int = 7) -> dict[str, list[str]]:
@@ -47,39 +56,52 @@ def labelled_credentials(per_format: int = 300, seed: int = 7) -> dict[str, list
     return {name: [start + "".join(rng.choice(letters) for _ in range(rng.choice(lengths))) for _ in range(per_format)] for name, (start, letters, lengths) in FORMATS.items()}
 
 
-def symbol(c: str) -> str:
-    """Symbols of the automata: classes of characters, so that merging has counts to test."""
-    if c in "abcdef":
-        return "h"
-    if c in LOWER:
-        return "l"
-    if c in "ABCDEF":
-        return "H"
-    return "L" if c in UPPER else "9" if c in DIGITS else c
+def kind_of(c: str) -> str:
+    return "l" if c in LOWER else "L" if c in UPPER else "9" if c in DIGITS else c
+
+
+def class_of(c: str) -> str:
+    """What a state emits for the symbol x: a class of characters, alike likely within."""
+    return ("h" if c in "abcdef" else "l") if c in LOWER else ("H" if c in "ABCDEF" else "L") if c in UPPER else "9"
+
+
+ALPHANUMERIC = frozenset(UPPER + LOWER + DIGITS)
+CLASSES = {c: class_of(c) for c in UPPER + LOWER + DIGITS} | {c: c for c in JOINS}
+#: Share of a format's characters from which a sign is a symbol of its own; a rarer one is one of the classes of x.
+OWN = 0.1
+SHARE = {k: math.log(sum(v == k for v in CLASSES.values())) for k in {*CLASSES.values()}}
 
 
 class Automaton:
-    """A probabilistic automaton, learned by merging compatible states of a prefix tree (ALERGIA)."""
+    """A probabilistic automaton, learned by merging compatible states of a prefix tree (ALERGIA).
 
-    def __init__(self, texts: list[str], alpha: float = 0.005, fixed: int = 0):
-        self.fixed, self.start, self.classes = fixed, texts[0][:fixed], frozenset(symbol(c) for t in texts for c in t[fixed:])
+    Letters, digits and rare signs are one symbol, so that merging has counts to test; frequent signs stand for themselves.
+    A state has how often each symbol follows, how often a credential ends, and how often each class of characters is meant by x.
+    Fixed lengths survive the merging, as ends differ; varied lengths become loops.
+    """
+
+    def __init__(self, texts: list[str], alpha: float = 0.005, start: str = ""):
+        self.start, self.fixed = start, len(start)
+        seen = Counter(c for t in texts for c in t[self.fixed :])
+        self.plain = ALPHANUMERIC | {c for c, n in seen.items() if n < OWN * seen.total()}
         self.next: list[dict[str, int]] = [{}]
         self.count: list[dict[str, int]] = [defaultdict(int)]
+        self.means: list[dict[str, int]] = [defaultdict(int)]
         self.ends = [0]
         for t in texts:
             at = 0
-            for c in self._symbols(t):
-                if c not in self.next[at]:
-                    self.next.append({})
-                    self.count.append(defaultdict(int))
-                    self.ends.append(0)
-                    self.next[at][c] = len(self.next) - 1
-                self.count[at][c] += 1
-                at = self.next[at][c]
+            for s, c in self._symbols(t):
+                if s not in self.next[at]:
+                    for table, new in ((self.next, {}), (self.count, defaultdict(int)), (self.means, defaultdict(int)), (self.ends, 0)):
+                        table.append(new)
+                    self.next[at][s] = len(self.next) - 1
+                self.count[at][s] += 1
+                if s == "x":
+                    self.means[at][CLASSES.get(c, c)] += 1
+                at = self.next[at][s]
             self.ends[at] += 1
         self._merge(alpha)
         self._prune()
-        self.lengths = min(map(len, texts)), max(map(len, texts))
 
     def _prune(self) -> None:
         """Keep the states that can still be reached."""
@@ -88,11 +110,15 @@ class Automaton:
             order += [q for q in dict.fromkeys(self.next[order[at]].values()) if q not in order]
             at += 1
         new = {q: i for i, q in enumerate(order)}
-        self.next, self.count, self.ends = [{c: new[q] for c, q in self.next[o].items()} for o in order], [dict(self.count[o]) for o in order], [self.ends[o] for o in order]
+        self.next = [{c: new[q] for c, q in self.next[o].items()} for o in order]
+        self.count, self.means, self.ends = [dict(self.count[o]) for o in order], [dict(self.means[o]) for o in order], [self.ends[o] for o in order]
+
+    def _symbols(self, text: str) -> list[tuple[str, str]]:
+        """(symbol, character); the fixed start's characters stand for themselves."""
+        return [("^" + c, c) for c in text[: self.fixed]] + [(self._symbol(c), c) for c in text[self.fixed :]]
 
-    def _symbols(self, text: str) -> list[str]:
-        """The first ``fixed`` characters stand for themselves, later ones for their class."""
-        return list(text[: self.fixed]) + [symbol(c) for c in text[self.fixed :]]
+    def _symbol(self, c: str) -> str:
+        return "x" if c in self.plain else c
 
     def _total(self, q: int) -> int:
         return self.ends[q] + sum(self.count[q].values())
@@ -110,11 +136,12 @@ class Automaton:
                 continue
             if self._different(self.ends[a], n1, self.ends[b], n2, alpha):
                 return False
-            for c in {*self.count[a], *self.count[b]}:
-                if self._different(self.count[a].get(c, 0), n1, self.count[b].get(c, 0), n2, alpha):
+            for table in (self.count, self.means):
+                if any(self._different(table[a].get(c, 0), n1, table[b].get(c, 0), n2, alpha) for c in {*table[a], *table[b]}):
                     return False
-                if c in self.next[a] and c in self.next[b]:
-                    todo.append((self.next[a][c], self.next[b][c]))
+            todo += [(q, self.next[b][c]) for c, q in self.next[a].items() if c in self.next[b] and q != self.next[b][c]]
+            if len(todo) > 10_000:
+                return False
         return True
 
     def _fold(self, a: int, b: int) -> None:
@@ -123,6 +150,8 @@ class Automaton:
         while todo:
             a, b = todo.pop()
             self.ends[a] += self.ends[b]
+            for c, n in self.means[b].items():
+                self.means[a][c] += n
             for c, n in self.count[b].items():
                 self.count[a][c] += n
                 if c in self.next[a]:
@@ -144,38 +173,43 @@ class Automaton:
                     break
             else:
                 red.append(q)
-            blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in red]
+            held = set(red)
+            blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in held]
+
+    def prefixes(self, text: str, at: int = 0) -> Iterator[tuple[int, float]]:
+        """(place, log likelihood) of every beginning of ``text`` from ``at`` that the automaton spells to an end."""
+        q, total = 0, 0.0
+        for i in range(at, min(len(text), at + REACH) + 1):
+            n = self._total(q)
+            if self.ends[q]:
+                yield i, total + math.log(self.ends[q] / n)
+            if i == len(text):
+                return
+            c = text[i]
+            s = "^" + c if i - at < self.fixed else self._symbol(c)
+            if s not in self.next[q]:
+                return
+            total += math.log(self.count[q][s] / n)
+            if s == "x":
+                k, meant = CLASSES.get(c, c), self.means[q]
+                total += math.log((meant.get(k, 0) + 0.05) / (self.count[q][s] + 0.25)) - SHARE.get(k, 0.0)
+            q = self.next[q][s]
 
     def score(self, text: str) -> float:
-        """Log likelihood per symbol; -99 for a text that no path spells, or shorter or longer than all credentials."""
-        if not self.lengths[0] <= len(text) <= self.lengths[1]:
-            return -99.0
-        at, total, n = 0, 0.0, 0
-        for c in self._symbols(text):
-            total_here = self._total(at)
-            p = (self.count[at].get(c, 0) + 0.05) / (total_here + 1.0) if total_here else 0.01
-            total += math.log(p)
-            n += 1
-            if c not in self.next[at]:
-                return -99.0
-            at = self.next[at][c]
-        end = (self.ends[at] + 0.05) / (self._total(at) + 1.0)
-        return (total + math.log(end)) / max(1, n)
+        """Log likelihood per character; -99 for a text that no path spells to its end."""
+        return next((v / max(1, len(text)) for i, v in self.prefixes(text) if i == len(text)), -99.0)
 
 
-def train(credentials: dict[str, list[str]] | None = None) -> dict[str, tuple[Automaton, float, float]]:
-    """An automaton per format, with the range that 99 % of its training credentials score in.
+def start_of(texts: list[str]) -> str:
+    """The letters and signs that all credentials of a format begin with, if three or more; credentials drawn at random share none."""
+    first, last = min(texts), max(texts)
+    n = next((i for i, (a, b) in enumerate(zip(first, last, strict=False)) if a != b), min(len(first), len(last)))
+    return first[:n] if 3 <= n < len(first) and len({*texts}) > 1 else ""
 
-    The range describes a format; the scan does not cut by it (see ``taken``).
-    """
-    out = {}
-    for name, texts in (credentials or labelled_credentials()).items():
-        start = FORMATS.get(name, ("", "", ()))[0]
-        made = Automaton(texts, fixed=len(start))
-        scores = sorted(made.score(t) for t in texts)
-        cut = len(scores) // 200
-        out[name] = (made, scores[cut], scores[len(scores) - 1 - cut])
-    return out
+
+def train(credentials: dict[str, list[str]] | None = None) -> dict[str, Automaton]:
+    """An automaton per format of labelled credentials; formats without one are left out."""
+    return {name: Automaton(texts, start=start_of(texts)) for name, texts in (credentials or labelled_credentials()).items() if texts}
 
 
 def labelled_words(n: int = 4000, seed: int = 7) -> list[str]:
@@ -190,10 +224,6 @@ def labelled_words(n: int = 4000, seed: int = 7) -> list[str]:
     return out
 
 
-def kind_of(c: str) -> str:
-    return "l" if c in LOWER else "L" if c in UPPER else "9" if c in DIGITS else c
-
-
 class Background:
     """How likely a text is as words, names, paths and numbers, or as few characters repeated."""
 
@@ -225,46 +255,47 @@ class Background:
             seen[c] += 1
         return total
 
+    def unlike(self, text: str) -> bool:
+        """Whether letters and digits drawn at random are likelier to be the text."""
+        return -len(text) * math.log(62) > self.score(text)
+
     def score(self, text: str) -> float:
         """Log likelihood; repeats are rare, so that they weigh only where the text is plainly made of them."""
         return max(self._words(text), self._repeats(text) - RARE)
 
 
-SHARE = {s: math.log(sum(symbol(c) == s for c in UPPER + LOWER + DIGITS)) for s in "hlHL9"}
 #: Nats by which repeated characters are rarer than words.
 RARE = 25.0
 #: Evidence, in nats, from which the text next to a piece counts as going on like the piece.
 GOES_ON = 20.0
+#: What base64 is made of besides letters and digits.
+BASE64 = frozenset("+/")
 
 
-def taken(run: str, s: int, e: int, automaton: Automaton, background: Background) -> bool:
-    """Whether a piece of a run is a credential of the automaton's format.
+def evidence(run: str, s: int, e: int, likelihood: float, automaton: Automaton, background: Background) -> float:
+    """Nats, beyond MARGIN, by which a piece of a run that an automaton spells is likelier a credential than words; none if not over 0.
 
-    With a fixed start: if the automaton spells it. Without: if the automaton
-    makes it likelier than the background does, and it is not cut out of a longer run of the same
-    kind (base64) at a joining character that the format itself uses; one more credential
-    beside it is none.
+    With a fixed start it is a credential (SURE). Without, it must not be cut out of a longer run of base64 at a joining
+    character; one more credential beside it is none.
     """
-    text = run[s:e]
-    score = automaton.score(text)
-    if score <= -99 or automaton.start:
-        return score > -99
-    if score * len(text) - sum(SHARE.get(symbol(c), 0.0) for c in text) <= background.score(text):
-        return False
-
-    low, high = automaton.lengths
-    far = high + 2
+    more = likelihood - background.score(run[s:e]) - MARGIN
+    if automaton.start:
+        return SURE + more
+    if more <= 0:
+        return 0.0
 
     def stretch(joined: str) -> str:
-        """What the format's characters reach to beyond a joining character, at most one more than its longest credential."""
+        """What base64 reaches to beyond a joining character."""
         n = 0
-        while n < len(joined) and symbol(joined[n]) in automaton.classes:
+        while n < len(joined) and (joined[n] in ALPHANUMERIC or joined[n] in BASE64):
             n += 1
         return joined[1:n]
 
+    far = max(2 * (e - s), 70)
     beside = stretch(run[max(0, s - far) : s][::-1])[::-1], stretch(run[e : e + far])
-    letters = sum(math.exp(SHARE.get(c, 0.0)) for c in automaton.classes)
-    return not any(t and not low <= len(t) <= high and -len(t) * math.log(letters) - background.score(t) > GOES_ON for t in beside)
+    alike = any(c in BASE64 for c in run[max(0, s - 1) : s] + run[e : e + 1])
+    cut = any(t and alike and len(t) != e - s and -len(t) * math.log(64) - background.score(t) > GOES_ON for t in beside)
+    return 0.0 if cut else more
 
 
 def base_spans(text: str, patterns: tuple) -> list[tuple[int, int, str]]:
@@ -283,72 +314,102 @@ def compiled() -> tuple:
     return re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX[:-1] + "{%d,}" % LEAST["hex"])
 
 
-def pieces(run: str, automata: dict[str, tuple[Automaton, float, float]], background: Background) -> Iterator[tuple[int, int, int]]:
-    """Credentials within a run of candidate characters: start, stop, and 0 for a format with a fixed start, else 1.
+def pieces(run: str, automata: dict[str, Automaton], background: Background) -> Iterator[tuple[int, int, float]]:
+    """Credentials within a run of candidate characters: start, stop and evidence.
 
-    A piece ends before a joining character or with the run. It begins with its
-    format's fixed start, wherever that stands, or else after a joining character or with the run.
+    A piece begins with its format's fixed start, wherever that stands, or else after a joining character or with the run;
+    it ends, wherever the automaton may, before a joining character or with the run.
     """
     joins = [i for i, c in enumerate(run) if c in JOINS]
-    begins, ends = [0, *(i + 1 for i in joins)], [*joins, len(run)]
-    for a, _, _ in automata.values():
+    begins, ends = [0, *(i + 1 for i in joins)], {*joins, len(run)}
+    for a in automata.values():
         for s in [m.start() for m in re.finditer(f"(?={re.escape(a.start)})", run)] if a.start else begins:
-            most = s + a.fixed
-            while most < min(len(run), s + a.lengths[1]) and symbol(run[most]) in a.classes:
-                most += 1
-            for e in ends[bisect_left(ends, s + a.lengths[0]) : bisect_right(ends, most)]:
-                if run[s:e].strip(JOINS) and taken(run, s, e, a, background):
-                    yield s, e, 0 if a.start else 1
-
-
-def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, tuple[Automaton, float, float]], background: Background) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+            for e, likelihood in a.prefixes(run, s):
+                if e in ends and e - s >= LEAST_PIECE and run[s:e].strip(JOINS) and (found := evidence(run, s, e, likelihood, a, background)) > 0:
+                    yield s, e, found
+
+
+def chosen(found: list[tuple[int, int, float]]) -> list[tuple[int, int]]:
+    """Of pieces that overlap those with the most evidence together; of equal sums the one that ends first."""
+    found = sorted(found, key=lambda f: (f[1], f[0]))
+    stops, best = [f[1] for f in found], [(0.0, [])]
+    for i, (s, e, v) in enumerate(found):
+        total, spans = best[bisect_right(stops, s, 0, i)]
+        best.append((total + v, (spans, (s, e))) if total + v > best[-1][0] else best[-1])
+    out, spans = [], best[-1][1]
+    while spans:
+        spans, span = spans
+        out.append(span)
+    return out[::-1]
+
+
+def scan_text(text: str, patterns: tuple, candidate: re.Pattern, automata: dict[str, Automaton], background: Background) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and the spans that only the automata find (kind ``format``)."""
-    base = base_spans(text, patterns)
-    found = []
+    base, more = base_spans(text, patterns), []
     for m in candidate.finditer(text):
-        for s, e, rank in pieces(m.group(), automata, background):
-            s, e = s + m.start(), e + m.start()
-            if not any(a < e and s < b for a, b, _ in base):
-                found.append((rank, s - e, s, e))
-    more = []
-    for _, _, s, e in sorted(found):
-        if not any(a < e and s < b for a, b, _ in more):
-            more.append((s, e, "format"))
-    return base, sorted(more)
+        at = m.start()
+        found = [(s + at, e + at, v) for s, e, v in pieces(m.group(), automata, background)]
+        more += [(s, e, "format") for s, e in chosen([f for f in found if not any(a < f[1] and f[0] < b for a, b, _ in base)])]
+    return base, more
 
 
 KINDS = ("assign", "access", "hex", "format")
 
 
-def written(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))))
+def harvested(docs: DataFrame, id_col: str, text_col: str, sample: int) -> dict[str, list[str]]:
+    """Labelled credentials of the corpus itself: the values of base hits by kind, ``sample`` at most, those with the least hash."""
 
-
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", credentials: dict[str, list[str]] | None = None) -> DataFrame:
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        patterns = compiled()
+        for b in batches:
+            out = []
+            for item in b:
+                text = item.as_py()
+                hits = [(k, patterns[0].match(text, s).group(2) if k == "assign" else text[s:e]) for s, e, k in base_spans(text, patterns)]
+                out.append([{"kind": k, "value": v} for k, v in hits if len(v) <= REACH])
+            yield pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
+
+    hits = F.arrow_udf(found, "array<struct<kind:string,value:string>>")
+    rows = docs.select(F.explode(hits(text_of(text_col))).alias("_h")).select("_h.kind", "_h.value").distinct()
+    rows = rows.orderBy(F.xxhash64("value"), "kind", "value").limit(sample).collect()
+    out: dict[str, list[str]] = defaultdict(list)
+    for r in rows:
+        shape = "hex" if re.fullmatch("[0-9a-f]+", r["value"]) else "mixed"
+        out[f"corpus {r['kind']} {shape}"].append(r["value"])
+    return {name: values for name, values in out.items() if len(values) >= 30}
+
+
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", credentials: dict[str, list[str]] | None = None, sample: int = SAMPLE) -> DataFrame:
     """Find secrets in whole texts: id, ``base`` and ``added`` spans (kind, start, stop).
 
-    Automata are learned on the driver from labelled credentials (default: drawn
-    from public formats) and score every candidate: each of the ``pieces`` of a run of 16 or more
+    Automata are learned on the driver from labelled credentials: those given (default: drawn
+    from public formats) and, unless ``sample`` is 0, the values that the fixed patterns find in the corpus, as many at most. They score every
+    candidate: each of the ``pieces`` of a run of 16 or more
     characters of credentials' alphabets. One that has its format's fixed start and is spelled by its
     automaton, or that is likelier as a credential than as words, is added, unless it meets a base span. Of added
-    spans that would overlap, one with a fixed start stays, then the longest, then the first. Places
+    spans that would overlap, those with the most evidence together stay. Places
     count code points, ends are exclusive. Null text: empty, no spans. Repeated
     rows are scanned each; other columns are ignored; empty table: no rows.
     """
     small_batches(docs.sparkSession)
-    automata, background = train(credentials), Background(labelled_words())
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    background = Background(labelled_words())
+    labelled = dict(labelled_credentials() if credentials is None else credentials)
+    if sample:
+        # Words as passwords would teach the automata words: only values that are no likelier as words are labelled.
+        more = harvested(docs, id_col, text_col, sample)
+        labelled |= {name: kept for name, values in more.items() if len(kept := [v for v in values if background.unlike(v)]) >= 30}
+    automata = train(labelled) if labelled else {}
+
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         patterns, candidate = compiled(), re.compile(CANDIDATE)
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
         for b in batches:
-            found = [scan_text(t, patterns, candidate, automata, background) for t in b.column(1).to_pylist()]
-            cols = [pa.array([[{"kind": k, "start": s, "stop": e} for s, e, k in f[i]] for f in found], span) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["_id", "base", "added"])
+            found = [scan_text(t.as_py(), patterns, candidate, automata, background) for t in b]
+            yield pa.StructArray.from_arrays([pa.array([[{"kind": k, "start": s, "stop": e} for s, e, k in f[i]] for f in found], span) for i in (0, 1)], names=["base", "added"])
 
-    spans = "array<struct<kind:string,start:long,stop:long>>"
-    plain = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    return plain.mapInArrow(scan, f"_id {dict(docs.dtypes)[id_col]}, base {spans}, added {spans}").withColumnRenamed("_id", id_col)
+    spans = "array<struct<kind:string,start:bigint,stop:bigint>>"
+    scanned = F.arrow_udf(scan, f"struct<base:{spans},added:{spans}>").asNondeterministic()
+    return docs.select(F.col(id_col), scanned(text_of(text_col)).alias("_s")).select(id_col, "_s.base", "_s.added")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
