@@ -1,6 +1,7 @@
 """The ten corpus operators: brute force, SQL, edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -230,12 +231,63 @@ def test_secrets_with_few_digits(spark):
     assert got[len(few) + len(none)] == [(0, 40), (41, 81)]
 
 
-def test_automata_tell_formats_from_prose():
+def test_automata_keep_lengths_and_generalise():
     automata = secrets.train()
+    assert automata["code_host"].start == "ghp_" and automata["token"].start == "" and len(automata["key40"].next) >= 40 and len(automata["token"].next) < 10
     fresh = secrets.labelled_credentials(50, seed=99)
-    hits = [any(low <= a.score(t) <= high for a, low, high in automata.values()) for ts in fresh.values() for t in ts]
-    assert np.mean(hits) > 0.9
-    assert not any(low <= a.score(t) <= high for a, low, high in automata.values() for t in ("internationalization2", "2024-01-02-report-final", "chapter-12-section-34"))
+    assert np.mean([any(a.score(t) > -99 for a in automata.values()) for ts in fresh.values() for t in ts]) > 0.97
+    assert automata["code_host"].score(fresh["code_host"][0][:-1]) == -99 and max(automata["key40"].prefixes(fresh["key40"][0][:30] + "Ab9" * 20), key=lambda p: p[1])[0] == 40
+    assert secrets.train({"x": []}) == {}
+
+
+def all_prefixes(automaton, text):
+    """Every piece of a text and its likelihood, state by state."""
+    out = {}
+    for s in range(len(text)):
+        for e in range(s, len(text) + 1):
+            if (v := automaton.score(text[s:e])) > -99:
+                out[s, e] = v * max(1, e - s)
+    return out
+
+
+def test_secret_pieces_brute_force():
+    automata, background = secrets.train(), secrets.Background(secrets.labelled_words())
+    rng, fresh = random.Random(17), secrets.labelled_credentials(20, seed=5)
+    for k in range(12):
+        run = "/".join([rng.choice(["path", "Key", "a-b", ""]), rng.choice(list(fresh.values()))[k], rng.choice(["x", "end_of"])])[:90]
+        want = set()
+        for a in automata.values():
+            for (s, e), v in all_prefixes(a, run).items():
+                begins = run.startswith(a.start, s) if a.start else s == 0 or run[s - 1] in secrets.JOINS
+                if begins and (e == len(run) or run[e] in secrets.JOINS) and e - s >= 16 and run[s:e].strip(secrets.JOINS) and (n := secrets.evidence(run, s, e, v, a, background)) > 0:
+                    want.add((s, e, round(n, 6)))
+        got = list(secrets.pieces(run, automata, background))
+        assert {(s, e, round(v, 6)) for s, e, v in got} == want
+        few = got[:12]
+        sets = [c for r in range(len(few) + 1) for c in itertools.combinations(few, r) if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(c, 2))]
+        best = max(sum(v for _, _, v in c) for c in sets)
+        assert sum(max(v for s, e, v in few if (s, e) == span) for span in secrets.chosen(few)) == pytest.approx(best)
+
+
+def test_unseen_formats_are_found(spark):
+    rng = random.Random(21)
+    base62 = secrets.UPPER + secrets.LOWER + secrets.DIGITS
+    made = [start + "".join(rng.choice(base62) for _ in range(n)) for start, n in (("glpat-", 24), ("npm_", 36), ("", 32), ("SG.", 43), ("dop_v1_", 48), ("key-", 28)) for _ in range(40)]
+    names = ["".join(w.title() for w in p.split("_")) for p in ("get_user_account_settings_page", "abstract_singleton_proxy_factory_bean", "internationalization_of_the_interface")] + ["2024-01-02-report-final-version-of-it", "https/www/example/com/articles/2024/some-long-title-here", "0123456789" * 3, "-" * 40]
+    texts = [rng.choice(["see {} here", "TOKEN_VALUE={}", "x={}&y", "https://h.io/{}?a"]).format(m) for m in made] + names
+    got = {r["doc_id"]: r["added"] for r in secrets.scan_secrets(spark.createDataFrame(rows(texts), SCHEMA), sample=0).collect()}
+    assert np.mean([any(texts[i][x["start"] : x["stop"]][-16:] == m[-16:] for x in got[i]) for i, m in enumerate(made)]) >= 0.9
+    assert not any(got[len(made) + i] for i in range(len(names)))
+
+
+def test_labels_come_from_the_corpus(spark):
+    rng = random.Random(22)
+    own = ["zq" + "".join(rng.choice("bcdfghjkmnp23456789") for _ in range(30)) for _ in range(60)]
+    frame = spark.createDataFrame(rows([f'token = "{t}"' for t in own] + [f"bare {own[0][:-1]}7 text", None]), SCHEMA)
+    labelled = secrets.harvested(frame, "doc_id", "text", 50)
+    assert len(labelled["corpus assign mixed"]) >= 48
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(frame).collect()}
+    assert [(x["start"], x["stop"]) for x in got[60]["added"]] == [(5, 37)] and not got[61]["base"]
 
 
 def test_packing(spark, docs, texts):
@@ -328,7 +380,7 @@ def test_licenses_sql(spark, docs, monkeypatch):
     more = spark.createDataFrame(rows(["Text. Licensed under the Apache License, Version 2.0.\nmore", "this WORK is licensed under the gnu general public license, version 3!\n\nx", licenses.TEMPLATES["MIT/text"].replace(", ", ",\n"), "the MIT license"]), SCHEMA)
     both = docs.withColumn("doc_id", F.col("doc_id") + 100).unionByName(more)
     monkeypatch.setattr(licenses, "documents", lambda s, d: both)
-    got = sorted(map(tuple, licenses.op9_licenses(spark, "").collect()))
+    got = sorted(map(tuple, licenses.op9_license_lines(spark, "").collect()))
     assert got == sorted(sql(both, licenses.OP9_SQL))
     assert {(i, t) for i, _, t, _ in got if i < 100} == {(0, "Apache-2.0/line"), (1, "GPL-3.0/line"), (2, "MIT/text")}
 
@@ -338,11 +390,14 @@ def best_windows(text, template, threshold=0.8):
     words = re.findall(r"[^\W_]+", text.lower())
     pairs, g = [f"{a} {b}" for a, b in zip(words, words[1:])], set(licenses.template_bigrams(template))
     found = []
-    for n in range(1, licenses.window_sizes(template, threshold)[2] + 1):
-        for p in range(len(pairs) - n + 1):
-            w = set(pairs[p : p + n])
-            if (d := 2 * len(w & g) / (len(w) + len(g))) >= threshold:
-                found.append((-d, p, n))
+    for p in range(len(pairs)):
+        each = []
+        for n in range(1, min(licenses.window_sizes(template, threshold)[2], len(pairs) - p) + 1):
+            w = pairs[p : p + n]
+            both = len(set(w) & g)
+            each.append((-2 * both / (sum(x not in g for x in w) + both + len(g)), p, n))
+        if each and min(each)[0] <= -threshold:
+            found.append(min(each))
     out = []
     for d, p, n in sorted(found):
         if all(p > q + m or q > p + n for _, q, m in out):
@@ -354,18 +409,19 @@ def test_license_windows(spark):
     t, rng = licenses.TEMPLATES, random.Random(9)
     comment = lambda s, lead: "\n".join(lead + " " + " ".join(s.split()[i : i + 8]) for i in range(0, len(s.split()), 8))
     cases = {
-        "/*\n * Copyright 2020 A\n *\n" + comment(t["MIT/text"], " *") + ":\n */": "MIT/text", comment(t["GPL-3.0/notice"], "#") + ". See more.": "GPL-3.0/notice",
+        "/*\n * Copyright 2020 A\n *\n" + comment(t["MIT"], " *") + "\n */": "MIT", comment(t["GPL-3.0/notice"], "#") + ". See more.": "GPL-3.0/notice",
         comment(t["MPL-2.0/notice"], "REM"): "MPL-2.0/notice", "This software is released under the MIT License, see LICENSE": "MIT/line", "Text is licensed under CC BY 4.0 unless noted otherwise": "CC-BY-4.0/line",
     }
     texts = [*cases, None, "", "license", "under the MIT", f"{t['MIT/line']} {t['MIT/line']} and {t['MIT/line']}"]
     for _ in range(25):
-        words = " ".join(rng.choice(list(t.values())) for _ in range(2)).split()
+        words = " ".join(rng.choice([x for x in t.values() if len(x) < 500]) for _ in range(2)).split()
         texts.append(" ".join(w if rng.random() < 0.93 else rng.choice(["zz", w + " " + w, ""]) for w in words))
-    got = licenses.scan_license_windows(spark.createDataFrame(rows(texts), SCHEMA)).collect()
-    assert {i: max((r["dice"], r["template"]) for r in got if r["doc_id"] == i) for i in range(len(cases))} == {i: (1.0, name) for i, name in enumerate(cases.values())}
+    got = licenses.scan_licenses(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert all((1.0, name) in {(r["dice"], r["template"]) for r in got if r["doc_id"] == i} for i, name in enumerate(cases.values()))
     bare = lambda s: re.sub(r"(?im)^[ \t]*rem ", " ", s or "")
-    want = {(i, p, n, name, d) for i, s in enumerate(texts) for name in t for p, n, d in best_windows(bare(s), t[name])}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    want = {(i, p, n, name, d) for i, s in enumerate(texts) for name in t if len(t[name]) < 500 for p, n, d in best_windows(bare(s), t[name])}
+    short = [tuple(r) for r in got if len(t[r["template"]]) < 500]
+    assert set(short) == want and len(short) == len(want)
 
 
 def shingles(text):
