@@ -71,10 +71,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pieces = keys.groupBy(F.col("_row.file").alias("_file"), F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
     if total // PIECE_ROWS + keys.select("_row.file").distinct().count() > MOST_PIECES:
         pieces = None
-    again = docs.withColumnRenamed(row_col, "_row") if row_col != "_row" else docs
     cols = ["_row", "_id", "_points", *[f"_carry_{c}" for c in carry]]
     # Only the key is looked at before the join; texts of rows that do not survive are not normalised.
-    texts = again.select("_row", F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *kept)
+    texts = docs.select(F.col(row_col).alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *kept)
     full = _marked(texts, keys, pieces).where("_survives").select("_row", "_id", F.length("_text").alias("_points"), *cols[3:], F.unhex(F.sha2(normalised(F.col("_text")), 256)).alias("_full"))
     full = staged(full, "full")
     best = F.min(F.struct((-F.col("_points")).alias("points"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
