@@ -16,6 +16,8 @@ GRAM = 16
 WINDOW = 32
 #: Code points that are hashed at once; longer texts go piece by piece.
 PIECE = 1 << 20
+#: Bytes of text that a range of ids holds, about, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 1 << 28, 50_000
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -23,14 +25,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def gram_hashes(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """40-bit hashes of all runs of ``gram`` code points (one of the whole text if shorter).
-
-    A polynomial rolling hash, doubled in width until it spans the gram.
-    """
-    if not len(points):
-        return np.zeros(0, np.uint64)
-    gram, base = min(gram, len(points)), 0x9E3779B97F4A7C15
+def _piece_hashes(points: np.ndarray, gram: int) -> np.ndarray:
+    base = 0x9E3779B97F4A7C15
     out, span, todo = None, points.astype(np.uint64) + np.uint64(1), gram
     width, done = 1, 0
     while todo:
@@ -48,6 +44,17 @@ def gram_hashes(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return out >> np.uint64(24)
 
 
+def gram_hashes(points: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """40-bit hashes of all runs of ``gram`` code points (one of the whole text if shorter).
+
+    A polynomial rolling hash, doubled in width until it spans the gram; PIECE runs at a time.
+    """
+    if not len(points):
+        return np.zeros(0, np.uint64)
+    gram = min(gram, len(points))
+    return np.concatenate([_piece_hashes(points[at : at + PIECE + gram - 1], gram) for at in range(0, len(points) - gram + 1, PIECE)])
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of each window's least hash, the rightmost of equal ones.
 
@@ -129,7 +136,8 @@ def fingerprint_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_id"), F.col(id_col).isNull().alias("_null"), text_of(text_col).alias("_text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, size // RANGE_BYTES))
     bounds = np.array(_bucket_bounds(rows.select("_id"), parts), np.int64)
 
     def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
