@@ -511,3 +511,173 @@ def test_alignment_of_very_long_texts():
     assert near_dedup.banded_similarity(a, np.delete(a, [5, 7000, 200_000])) == 1 - 3 / 250_000
     assert near_dedup.banded_similarity(a, noisy) > 0.97 and 0.88 < near_dedup.banded_similarity(a, longer) < 0.9
     assert time.perf_counter() - start < 15
+
+
+def plain_hash(points):
+    value = 0
+    for p in points:
+        value = (value * 0x9E3779B97F4A7C15 + int(p) + 1) % (1 << 64)
+    value ^= value >> 29
+    return (value * 0xBF58476D1CE4E5B9) % (1 << 64) >> 24
+
+
+def test_gram_hashes_brute_force_and_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.integers(32, 0x10FFFF, 300).astype(np.uint32)
+    for gram in (1, 5, 16, 31):
+        assert winnowing.gram_hashes(points, gram).tolist() == [plain_hash(points[i : i + gram]) for i in range(len(points) - gram + 1)]
+    whole = winnowing.winnow(winnowing.gram_hashes(points))
+    monkeypatch.setattr(winnowing, "PIECE", 40)
+    pieces = winnowing.winnow(winnowing.gram_hashes(points))
+    assert all((a == b).all() for a, b in zip(whole, pieces, strict=True))
+    monkeypatch.undo()
+    long = np.tile(points, 8000)  # 2.4 million code points: beyond one piece
+    at, hashes = winnowing.winnow(winnowing.gram_hashes(long))
+    assert np.diff(at).max() <= winnowing.WINDOW and (at[-1] + winnowing.WINDOW + winnowing.GRAM) > len(long)
+    assert all(plain_hash(long[i : i + winnowing.GRAM]) == h for i, h in list(zip(at.tolist(), hashes.tolist(), strict=True))[:: len(at) // 50])
+
+
+def test_long_and_special_texts_are_encoded_as_tokenizers_does():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rng, encode = random.Random(3), packing.encoder()
+    mixed = "".join(rng.choice(["a", " ", "  ", "\n", "\t x", " b", "é", "字 ", "'s", "12", " 7!", " <|endoftext|>", "\u3000"]) for _ in range(200_000))
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "字" * 400_000, mixed):
+        assert np.array_equal(encode(text), np.array(whole.encode(text, add_special_tokens=False).ids))
+    for step in (3, 17, 100):
+        parts = list(packing.safe_cuts(mixed[:5000], step))
+        assert "".join(parts) == mixed[:5000] and sum((whole.encode(p, add_special_tokens=False).ids for p in parts), []) == whole.encode(mixed[:5000], add_special_tokens=False).ids
+
+
+def test_windows_are_nearly_as_few_as_can_be():
+    rng = random.Random(6)
+
+    def fewest(sizes, capacity):
+        best = [len(sizes)]
+
+        def put(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + sizes[i] <= capacity:
+                    put(i + 1, bins[:b] + [bins[b] + sizes[i]] + bins[b + 1 :])
+            put(i + 1, [*bins, sizes[i]])
+
+        put(0, [])
+        return best[0]
+
+    extra = 0
+    for _ in range(60):
+        sizes = sorted((rng.randrange(1, 257) for _ in range(rng.randrange(1, 10))), reverse=True)
+        at, ways = packing.pack_pieces(sizes, 512)
+        sums = Counter()
+        for w, s in zip(at, sizes, strict=True):
+            sums[w] += s
+        assert max(sums.values()) <= 512 and len(sums) <= ways
+        extra += ways - fewest(sizes, 512)
+    assert 0 <= extra <= 3
+
+
+def test_packing_spreads_equal_rows(spark):
+    frame = spark.createDataFrame([(None, "same text")] * 9000 + [(None, f"text {i}") for i in range(50)], "doc_id long, text string").repartition(2)
+    got = packing.pack(frame).collect()
+    batches = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 9050 and len(batches) > 10 and max(batches.values()) < 2000
+    sums = Counter()
+    for r in got:
+        sums[r["sequence_id"]] += r["length"]
+    assert max(sums.values()) <= 1024
+
+
+def test_held_out_languages_and_quality(spark):
+    from engramma.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    found = QUERIES["op7_language_id"](spark, sf).where("held_out").join(docs.where("lang is not null and text rlike '[\\\\p{L}]{3}'"), "doc_id").select("lang", "lang_pred").collect()
+    assert len(found) > 100 and np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.98
+    scored = QUERIES["op8_quality"](spark, sf).where("held_out").join(labels, "doc_id").select("score", "quality").collect()
+    good, bad = [r["score"] for r in scored if r["quality"] == 1], [r["score"] for r in scored if r["quality"] == 0]
+    assert len(bad) > 5 and np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.9
+
+
+def test_long_texts_enter_the_quality_fit(spark):
+    frame = spark.createDataFrame([(1, "ab" * 200_000), (2, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r["t"] for r in frame.select("doc_id", quality.bounded(F.col("text")).alias("t")).collect()}
+    assert got[2] == "short" and len(got[1]) == quality.SAMPLE_BYTES and set(got[1]) == {"a", "b"}
+
+
+def test_order_of_words_decides(spark, words):
+    rng = random.Random(31)
+    blocks = [[rng.choice(words) + str(rng.randrange(10**6)) for _ in range(60)] for _ in range(5)]
+    text = " ".join(w for b in blocks for w in b)
+    moved = " ".join(w for i in (3, 4, 0, 1, 2) for w in blocks[i])
+    a, b = shingles(text), shingles(moved)
+    assert len(a & b) >= 0.8 * len(a | b)
+    edited = text.split()
+    edited[100] = "other"
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows([text, moved, " ".join(edited)]), SCHEMA), sketches=60).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_near_pairs_are_recalled(spark, words):
+    rng, texts = random.Random(41), []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randrange(30, 120))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            copy = base[:]
+            for _ in range(rng.randrange(1, 2 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    frame = spark.createDataFrame(rows(texts), SCHEMA)
+    for block in (256, 3):
+        group = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(frame, block=block).collect()}
+        assert np.mean([group[i] == group[j] for i, j in pairs]) >= 0.99 and len(pairs) > 150
+
+
+def test_repeated_rows_and_rows_without_an_id(spark, docs, texts):
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit_quality_model(twice, labels)
+    scores = {}
+    for r in quality.score_quality(twice, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        scores.setdefault(r["doc_id"], []).append(r["score"])
+    assert len(scores) == len(texts) and all(len(s) == 2 and s[0] == s[1] for s in scores.values())
+    assert language_id.fit_language_model(twice, sample=30).languages == ["en"]
+    found = Counter(r["doc_id"] for r in licenses.scan_licenses(twice).collect())
+    assert found == Counter({texts.index("Released under the MIT License."): 2, None: 1})
+    assert packing.pack(twice).where("start = 0").count() == 3 * len(texts)
+    for apply in (lambda d: quality.score_quality(d, model), licenses.scan_licenses, licenses.scan_license_lines, packing.pack):
+        assert apply(docs.limit(0)).count() == 0
+
+
+def test_megabyte_texts(spark, words):
+    rng = random.Random(51)
+    long = " ".join(rng.choice(words) for _ in range(250_000))
+    frame = spark.createDataFrame([(1, long, "en"), (2, long + " end", "en"), (3, " " * 1_200_000, None), (4, "字" * 400_000, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(frame).collect()} == dict.fromkeys((1, 2, 3, 4), True)
+    assert {r["doc_id"]: r["kept"] for r in near_dedup.near_dedup(frame).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert packing.pack(frame).agg(F.sum("length")).first()[0] > 1_000_000 and winnowing.fingerprint_pairs(frame).count() == 4
+    model = language_id.LanguageModel(["en"], np.zeros((language_id.BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
+    assert language_id.identify_languages(frame, model).count() == 4 and secrets.scan_secrets(frame, sample=0).where("size(added) > 0").count() == 0
+    assert quality.score_quality(frame, quality.train_model(["good text"], ["bad text"], 1, 1)).count() == 4 and licenses.scan_licenses(frame).count() == 0
+    assert sharding.shard(frame.drop("lang"), 2).count() == 4 and mixing.mix(frame.withColumn("source", F.lit("s"))).count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from engramma.llm import common
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("S", (), {"master": "yarn", "applicationId": "a"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
