@@ -305,12 +305,12 @@ def test_eleven_hits_and_wide_episodes(spark):
 
 def test_recall_of_all_equals_recall_of_each(spark):
     rng = random.Random(11)
-    for case in range(4):
+    for case in (0, 3):
         contents = [sorted({(k, v) for k in rng.sample(range(4), rng.randrange(1, 4)) for v in rng.sample(range(100, 100 + 3 + 4 * case), rng.randrange(1, 3))}) for _ in range(60)]
         kv = spark.createDataFrame([(s, k, v) for s, c in enumerate(contents) for k, v in c] + [(60, 77, 78), (61, 0, 100)], "seq long, key long, value long")
         edges = spark.createDataFrame(list({(a, b): (a, b, rng.randrange(1 << 4), 4) for a, b in ((rng.randrange(62), rng.randrange(62)) for _ in range(150)) if a != b}.values()), "from_seq long, to_seq long, history_bits long, sample_count long")
         index = cues.episode_cues(kv).cache()
-        for limit in (1, 3, 50):
+        for limit in (2, 50):
             want = recall.recall(index, cues.cue_counts(index), edges, kv.select(F.col("seq").alias("src")), limit)
             assert sorted(map(tuple, recall.recall_all(index, edges, limit).collect())) == sorted(map(tuple, want.collect()))
 
