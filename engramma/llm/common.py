@@ -83,22 +83,33 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether a table is one scan with projections and deterministic filters, whose rows are found again by their place."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.children().size() == 1:
+        if node.nodeName() not in ("Project", "Filter", "SubqueryAlias", "View") or not node.deterministic():
+            return False
+        node = node.children().head()
+    return node.children().isEmpty()
+
+
 def row_keyed(docs: DataFrame, name: str = "_row") -> DataFrame:
     """``docs`` with a key of each row that every later scan repeats: its file and its place in it.
 
     So rows that are equal in every column are told apart without writing the
-    texts again. A table that is not read from files is written first. Made for the
-    tables between stages; a join above the files would repeat keys.
+    texts again. A table that is not read from files, or is more than a scan of them, is written first.
     """
     try:
-        place = docs.metadataColumn("_metadata")
-        out = docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
-        out.schema  # noqa: B018 - resolved here, or not at all
-        return out
+        if _is_scan(docs):
+            place = docs.metadataColumn("_metadata")
+            out = docs.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
+            out.schema  # noqa: B018 - resolved here, or not at all
+            return out
     except AnalysisException:
-        written = staged(docs, "rows")
-        place = written.metadataColumn("_metadata")
-        return written.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
+        pass
+    written = staged(docs, "rows")
+    place = written.metadataColumn("_metadata")
+    return written.withColumn(name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

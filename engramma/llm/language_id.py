@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramma.llm.common import documents, small_batches, text_of
+from engramma.llm.common import documents, fresh, small_batches, text_of
 
 BUCKETS = 1 << 13
 WIDTHS = (1, 2, 3)
@@ -195,9 +195,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, text_col: str =
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "lang_score", "lang_rejected")
-    cols = docs.columns
-    out = docs.withColumn("_named", language_of(model)(F.col(text_col).cast("string")))
-    return out.select(*cols, "_named.lang_pred", "_named.lang_score", "_named.lang_rejected")
+    named = fresh(docs, "_named")
+    out = docs.withColumn(named, language_of(model)(F.col(text_col).cast("string")))
+    return out.select(*docs.columns, *[F.col(named)[c].alias(c) for c in ("lang_pred", "lang_score", "lang_rejected")])
 
 
 def fold(modulus: int, rest: int, id_col: str = "doc_id") -> F.Column:

@@ -681,3 +681,11 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+def test_row_keys_tell_rows_apart(spark, docs):
+    from engramma.llm.common import row_keyed
+
+    joined = docs.join(spark.range(2), F.lit(True)).where("doc_id < 8")
+    for table, n in ((docs, docs.count()), (docs.where("doc_id < 9").select("doc_id", "text"), 9), (joined, 16), (docs.limit(3), 3), (docs.unionByName(docs), 2 * docs.count())):
+        assert row_keyed(table, "_key").select("_key").distinct().count() == n
