@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from engramma.llm.common import shared_dir
+from engramma.llm.common import folder_for
 from engramma.llm.exact_dedup import exact_dedup_stage
 from engramma.llm.language_id import language_stage
 from engramma.llm.mixing import mixing_stage
@@ -21,14 +19,14 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Language models, sketches and tokens are beyond SQL; tests hold the pipeline against its brute-force version.
+#: Language models, sketches and tokens are beyond SQL; tests/llm holds every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of the corpus, from the documents table through all stages."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/engramma/{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
+    folder = folder_for(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(path)
