@@ -17,6 +17,7 @@ from engramma.functions.symbols import normalise
 from engramma.operators import cues, episodes, feedback, recall
 from engramma.sources.stage import numbered
 from engramma.sources.store import SCHEMAS, MemoryStore
+from engramma.streaming import feedback as streaming
 from engramma.streaming.feedback import stream_traces
 
 
@@ -386,3 +387,15 @@ def test_streamed_traces(spark, tmp_path):
         query.awaitTermination(120)
     got = {r["from_seq"]: (r["history_bits"], r["sample_count"]) for r in spark.read.parquet(f"{tmp_path}/out2").collect()}
     assert got == {s: fold([x for _, f, _, x in rows if f == s]) for s in range(3)}
+
+
+def test_streamed_table_of_traces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "WHOLE", 3)
+    rng = random.Random(2)
+    rows = [(e, rng.randrange(4), rng.randrange(4, 6), rng.randrange(2)) for e in range(150)]
+    for k in range(5):
+        spark.createDataFrame(rows[k * 30 : k * 30 + 30], "event_id long, from_seq long, to_seq long, x int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("event_id long, from_seq long, to_seq long, x int").parquet(f"{tmp_path}/in")
+        streaming.fold_stream(stream, f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in streaming.traces_at(spark, f"{tmp_path}/out").collect()}
+    assert got == {k: fold([x for _, f, t, x in rows if (f, t) == k]) for k in {(f, t) for _, f, t, _ in rows}}
