@@ -201,12 +201,12 @@ BROKEN = [
     ({"episodes": ([(0, 5, [(0, [1])]), (2, 5, [(0, [1])])], EPISODES)}, errors.NonContiguousEpisodeSequence, "expected episode sequence 1, found 2"),
     ({"episodes": ([(0, 5, [(0, [1, 0])])], EPISODES)}, errors.InvalidEpisode, "not canonical"),
     ({"episodes": ([(0, 5, [])], EPISODES)}, errors.InvalidEpisode, "not canonical"),
-    ({"manifest": {"memory_id": "0" * 32}}, errors.InvalidMemoryId, ""),
+    ({"manifest": {"memory_id": "0" * 32}}, errors.InvalidMemoryId, "invalid persisted memory ID"),
     ({"manifest": {"revision": -1}}, errors.InvalidMetadata, "negative"),
     ({"manifest": {"revision": 5}}, errors.InvalidMetadata, "manifest's name"),
     ({"manifest": {"symbol_count": ...}}, errors.InvalidEncoding, "manifest.symbol_count"),
     ({"manifest": {"format_version": 5}}, errors.UnsupportedFormatVersion, "5"),
-    ({"manifest": {"format_version": ...}}, errors.MissingMetadata, ""),
+    ({"manifest": {"format_version": ...}}, errors.MissingMetadata, "row is missing"),
     ({"manifest": {"episode_count": 9}}, errors.InvalidMetadata, "row counts"),
     ({"manifest": {"more": 1}}, errors.InvalidMetadata, "schema differs"),
     ({"manifest": {"symbols": ["v0000000077-aaaaaaaaaaaa/symbols"]}}, errors.Unreadable, "v0000000077"),
