@@ -39,17 +39,16 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED, offsets: int = OFFSETS, carry: dict[str, Column] | None = None) -> DataFrame:
     """How often each document enters the mix: systematic sampling within its source.
 
-    Documents of a source stand in the order of their size; the running sum of
+    Documents of a source stand in the order of a hash of their id; the running sum of
     their expected copies, target / size of the source each, plus one offset in
-    [0, 1) crosses an integer once per copy. In that order each source's words end within about its longest
-    document of the target; so of ``offsets`` offsets drawn from ``seed`` and the source the one that ends nearest
-    is taken, the first of equal ones. The running sum is found from counts per (source, size, part),
+    [0, 1) crosses an integer once per copy. Of ``offsets`` offsets drawn from ``seed`` and the source the one whose words
+    end nearest to the target is taken, the first of equal ones. In the order of their sizes, all offsets would take or leave
+    the longest documents alike; in this one they differ. The running sum is found from counts per (source, part),
     so that no source, however large, is ranked by one task.
 
     Returns id, ``size`` (words), ``source_size``, ``target``, ``copies``,
     ``taken`` (copies times size) and the ``carry`` expressions. A null text has no words; a null source is a
-    source, the last one. Repeated rows are documents of their own, ordered by
-    a hash of the id; reruns agree. Empty table: no rows. Other columns are ignored.
+    source, the last one. Repeated rows are documents of their own; reruns agree. Empty table: no rows. Other columns are ignored.
     """
     carry = carry or {}
     key = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")).alias("_key")
@@ -58,17 +57,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     parts = max(1, min(1 << 20, rows.count() // 1000))
     rows = rows.select("*", key, F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")).alias("_order"))
     rows = rows.withColumn("_part", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
-    cells = rows.groupBy("_key", "_size", "_part").agg(F.count("*").alias("_n"))
-    sizes = cells.groupBy("_key", "_size").agg(F.sum("_n").alias("_n"))
-    sources = sizes.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("_words")).withColumn("_source", F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)))
+    cells = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    sources = cells.groupBy("_key").agg(F.sum("_sum").alias("_words")).withColumn("_source", F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)))
     targets = source_targets(sources).select(key, "_words", "_target")
-    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("_key", "_size", F.coalesce(F.sum("_n").over(before("_key").orderBy("_size")), F.lit(0)).alias("_above")).join(targets, "_key")
-    cells = cells.select("_key", "_size", "_part", F.coalesce(F.sum("_n").over(before("_key", "_size").orderBy("_part")), F.lit(0)).alias("_start")).join(sizes, ["_key", "_size"])
-    rank = F.row_number().over(Window.partitionBy("_key", "_size", "_part").orderBy("_order", "_id"))
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).join(targets, "_key")
+    rank = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_order", "_id", "_size"))
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)
-    place = (F.col("_above") + F.col("_start") + F.col("_rank")).cast("double")
-    rows = rows.withColumn("_rank", rank).join(cells, ["_key", "_size", "_part"]).select("_id", "_key", "_size", "_words", "_target", rate.alias("_rate"), place.alias("_place"), *[f"_carry_{c}" for c in carry])
+    place = (F.col("_start") + F.col("_rank")).cast("double")
+    rows = rows.withColumn("_rank", rank).join(cells, ["_key", "_part"]).select("_id", "_key", "_size", "_words", "_target", rate.alias("_rate"), place.alias("_place"), *[f"_carry_{c}" for c in carry])
     rows = staged(rows, "ranked")
     # One number per source and offset: how far the words that it takes end from the target.
     drawn = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -120,7 +117,7 @@ s3 AS (
   SELECT d.*, s4.words, s4.target, CASE WHEN s4.words > 0 THEN s4.target / s4.words::DOUBLE ELSE 0.0::DOUBLE END AS rate
   FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source
 ), k AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id))::DOUBLE AS place FROM r
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size))::DOUBLE AS place FROM r
 ), o AS (
   SELECT source, n, ('0x' || substr(md5('engramma-mix' || n || coalesce('s' || source, 'n')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS o
   FROM s4, range(16) t(n)
