@@ -13,6 +13,11 @@ MOST = 3
 SEED = "engramma-mix"
 #: Offsets drawn per source.
 OFFSETS = 16
+#: Rows of a part of a source on average, and how many times as many make a part that is split.
+PART_ROWS = 1000
+HEAVY = 16
+#: The most pieces of the equal rows of a part that is split.
+TIES = 4096
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -44,7 +49,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     [0, 1) crosses an integer once per copy. Of ``offsets`` offsets drawn from ``seed`` and the source the one whose words
     end nearest to the target is taken, the first of equal ones. In the order of their sizes, all offsets would take or leave
     the longest documents alike; in this one they differ. The running sum is found from counts per (source, part),
-    so that no source, however large, is ranked by one task.
+    so that no source, however large, is ranked by one task. Only rows that repeat an id, or have none, can fill a part: a part
+    of over HEAVY times the mean falls into pieces by size, and rows equal in id and size, whose order is free, into up to TIES.
 
     Returns id, ``size`` (words), ``source_size``, ``target``, ``copies``,
     ``taken`` (copies times size) and the ``carry`` expressions. A null text has no words; a null source is a
@@ -53,19 +59,33 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     carry = carry or {}
     key = F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("n")).alias("_key")
     words = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("_size")
-    rows = staged(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words, *[e.alias(f"_carry_{c}") for c, e in carry.items()]), "mix")
-    parts = max(1, min(1 << 20, rows.count() // 1000))
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("_at"), F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words, *[e.alias(f"_carry_{c}") for c, e in carry.items()]), "mix")
+    total = rows.count()
+    parts = max(1, min(1 << 20, total // PART_ROWS))
     rows = rows.select("*", key, F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")).alias("_order"))
     rows = rows.withColumn("_part", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
-    cells = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    cells = staged(rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum")), "cells")
     sources = cells.groupBy("_key").agg(F.sum("_sum").alias("_words")).withColumn("_source", F.when(F.col("_key") != "n", F.substring("_key", 2, 1 << 30)))
     targets = source_targets(sources).select(key, "_words", "_target")
-    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("_key", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")).join(targets, "_key")
-    rank = F.row_number().over(Window.partitionBy("_key", "_part").orderBy("_order", "_id", "_size"))
+    # Fewer than parts / HEAVY parts can be that large, which bounds what is broadcast.
+    least = HEAVY * max(PART_ROWS, total // parts)
+    heavy = cells.where(F.col("_n") > least).select("_key", "_part", F.least(F.ceil(F.col("_n") / PART_ROWS), F.lit(TIES)).alias("_ties"))
+    rows = rows.join(F.broadcast(heavy), ["_key", "_part"], "left")
+    is_heavy = F.col("_ties").isNotNull()
+    split = {
+        "_same": F.when(is_heavy, F.concat("_order", F.col("_id").isNotNull().cast("string"))).otherwise(""),
+        "_long": F.when(is_heavy, F.col("_size")).otherwise(0),
+        "_tie": F.when(is_heavy, F.pmod(F.xxhash64("_at"), "_ties")).otherwise(0),
+    }
+    rows = rows.withColumns(split)
+    cell = ["_key", "_part", *split]
+    before = Window.partitionBy("_key").orderBy(*cell[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    cells = starts.join(targets, "_key")
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("_order", "_id", "_size"))
     rate = F.when(F.col("_words") > 0, F.col("_target") / F.col("_words")).otherwise(0.0)
     place = (F.col("_start") + F.col("_rank")).cast("double")
-    rows = rows.withColumn("_rank", rank).join(cells, ["_key", "_part"]).select("_id", "_key", "_size", "_words", "_target", rate.alias("_rate"), place.alias("_place"), *[f"_carry_{c}" for c in carry])
+    rows = rows.withColumn("_rank", rank).join(cells, cell).select("_id", "_key", "_size", "_words", "_target", rate.alias("_rate"), place.alias("_place"), *[f"_carry_{c}" for c in carry])
     rows = staged(rows, "ranked")
     # One number per source and offset: how far the words that it takes end from the target.
     drawn = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}{k}"), F.col("_key")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -75,7 +95,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     chosen = ends.select("_key", nearest["offset"].alias("_offset"))
     copies = crossed(F.col("_offset")).cast("long")
     # One row per source, with no list of rows in it: a join by source would deal a hot source to one task.
-    out = join_spread(rows, rows.groupBy("_key").agg(F.count("*").alias("_rows")).join(chosen, "_key"), "_key", "_rows", rows.count(), "_place")
+    out = join_spread(rows, rows.groupBy("_key").agg(F.count("*").alias("_rows")).join(chosen, "_key"), "_key", "_rows", total, "_place")
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"), F.col("_target").alias("target"), copies.alias("copies"), (copies * F.col("_size")).alias("taken"), *[F.col(f"_carry_{c}").alias(c) for c in carry])
 
 

@@ -54,7 +54,7 @@ def docs(spark, texts, tmp_path_factory):
 
 def sql(docs, query):
     con = duckdb.connect()
-    con.register("documents", docs.select("doc_id", "text", "lang", "source", "n_chars").toPandas())
+    con.register("documents", docs.select("doc_id", "text", "lang", "source", "n_chars").toArrow())
     return con.sql(query).fetchall()
 
 
@@ -144,6 +144,18 @@ def test_mixing_sql_and_bounds(spark, docs, monkeypatch):
     assert sum(t for _, t in sources) == pytest.approx(sum(s for s, _ in sources))
 
 
+def test_mixing_splits_rows_without_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 5)
+    monkeypatch.setattr(mixing, "HEAVY", 2)
+    rng = random.Random(17)
+    made = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join("w" * rng.randrange(12)), "en", rng.choice(["a", "b", "b", None]), 0, "", 1, 2, "x") for i in range(400)]
+    spark.createDataFrame(made, SCHEMA).repartition(4).write.parquet(path := f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(path)
+    monkeypatch.setattr(mixing, "documents", lambda s, d: table)
+    order = lambda r: (r[0] is None, *r[:1] * (r[0] is not None), *r[1:])
+    assert sorted(map(tuple, mixing.op3_mixing(spark, "").collect()), key=order) == sorted(sql(table, mixing.OP3_SQL), key=order)
+
+
 def test_mixing_targets_by_resharing(spark):
     sizes = [("a", 1000), ("b", 10), ("c", 10), ("d", 500), (None, 3)]
     got = {r["_source"]: r["_target"] for r in mixing.source_targets(spark.createDataFrame(sizes, "_source string, _words long")).collect()}
