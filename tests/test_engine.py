@@ -15,6 +15,7 @@ from engramma import cli, errors
 from engramma.functions import codec, ids, scores
 from engramma.functions.symbols import normalise
 from engramma.operators import cues, episodes, feedback, recall
+from engramma.plans import registry as plans
 from engramma.sources.stage import numbered
 from engramma.sources.store import SCHEMAS, MemoryStore
 from engramma.streaming import feedback as streaming
@@ -377,6 +378,28 @@ def test_shell_words():
     assert cli.shell_words("'x") is None and cli.shell_words("x\\") is None and cli.shell_words("''") == [""]
 
 
+@pytest.mark.parametrize("words", [recall.WORDS, 0])
+def test_structural_pairs_equal_joined_pairs(spark, monkeypatch, words):
+    monkeypatch.setattr(recall, "WORDS", words)
+    rng = random.Random(4)
+    kv = spark.createDataFrame([(s, "all", "x") for s in range(0, 80, 2)] + [(s, rng.choice("abc"), str(rng.randrange(60))) for s in range(80) for _ in range(rng.randrange(5))], "seq long, key string, value string").distinct()
+    index = cues.episode_cues(kv)
+    counts, sources = cues.cue_counts(index), spark.createDataFrame([(s,) for s in [*range(0, 80, 3), 0, 999]], "src long")
+    none = spark.createDataFrame([], "from_seq long, to_seq long, history_bits long, sample_count long")
+    want = sorted(tuple(r) for r in recall.scored(index, counts, none, sources).select("src", "tgt", "ppm").collect())
+    assert index.select("kind", "a", "b").distinct().count() > 64 and len(want) > 100
+    assert sorted(tuple(r) for r in recall.structural_pairs(index, counts, sources).collect()) == want
+
+
+def test_pairs_of_parts_are_neither_dealt_nor_summed(spark, tmp_path):
+    parts = [(i, f"{'red' if i % 2 else 'old'} ring", f"Brand#{i % 7}", "LARGE", i % 5) for i in range(100)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = plans.recall_all_pairs_score(spark, str(tmp_path))
+    assert pairs.count() == 5 * 99 and pairs.where("src = 20 and tgt = 90").first()["ppm"] == 400000
+    plan = pairs._jdf.queryExecution().optimizedPlan()
+    assert not any("tgt" in line for line in plan.toString().split("\n") if "Aggregate" in line)
+
+
 def test_streamed_traces(spark, tmp_path):
     rng = random.Random(1)
     rows = [(e, rng.randrange(3), 5, rng.randrange(2)) for e in range(120)]
