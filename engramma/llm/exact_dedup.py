@@ -28,7 +28,15 @@ def _survivors(rows: DataFrame) -> DataFrame:
     return by_prefix.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_pre", F.col("_n").alias("_in"))
 
 
-def _marked(df: DataFrame, keys: DataFrame, pieces: DataFrame | None) -> DataFrame:
+def bitmap_of(keys: DataFrame, total: int) -> DataFrame | None:
+    """Pieces (_file, _bucket, _bits) of a bitmap of the rows ``_row`` (file, at) in ``keys``, of ``total`` rows in all; None if it would have more than MOST_PIECES."""
+    if total // PIECE_ROWS + keys.select("_row.file").distinct().count() > MOST_PIECES:
+        return None
+    at = F.col("_row.at") + 1
+    return keys.groupBy(F.col("_row.file").alias("_file"), F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+
+
+def marked(df: DataFrame, keys: DataFrame, pieces: DataFrame | None) -> DataFrame:
     """``df`` with ``_survives``: whether its ``_row`` is in ``keys``, by a broadcast bitmap or else by a join."""
     if pieces is None:
         return df.join(keys.select("_row", F.lit(True).alias("_survives")).hint("shuffle_hash"), "_row", "left").withColumn("_survives", F.coalesce("_survives", F.lit(False)))
@@ -67,19 +75,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sign = F.xxhash64("_len", "_pre")
     keyed = rows.select("_row", sign.alias("_sign"))
     keys = staged(join_spread(keyed, groups.select(sign.alias("_sign"), "_in").groupBy("_sign").agg(F.sum("_in").alias("_in")), "_sign", "_in", total, "_row").where("_in is not null").select("_row"), "survivors")
-    at = F.col("_row.at") + 1
-    pieces = keys.groupBy(F.col("_row.file").alias("_file"), F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
-    if total // PIECE_ROWS + keys.select("_row.file").distinct().count() > MOST_PIECES:
-        pieces = None
+    pieces = bitmap_of(keys, total)
     cols = ["_row", "_id", "_points", *[f"_carry_{c}" for c in carry]]
     # Only the key is looked at before the join; texts of rows that do not survive are not normalised.
     texts = docs.select(F.col(row_col).alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"), *kept)
-    full = _marked(texts, keys, pieces).where("_survives").select("_row", "_id", F.length("_text").alias("_points"), *cols[3:], F.unhex(F.sha2(normalised(F.col("_text")), 256)).alias("_full"))
+    full = marked(texts, keys, pieces).where("_survives").select("_row", "_id", F.length("_text").alias("_points"), *cols[3:], F.unhex(F.sha2(normalised(F.col("_text")), 256)).alias("_full"))
     full = staged(full, "full")
     best = F.min(F.struct((-F.col("_points")).alias("points"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     same = full.groupBy("_full").agg(F.count("*").alias("_size"), best.alias("_best")).where("_size > 1").select("_full", "_size", F.col("_best.id").alias("_keep"), F.col("_best.row").alias("_stays"))
     copies = join_spread(full, same, "_full", "_size", total, "_row").drop("_points")
-    single = _marked(rows.select(*cols), keys, pieces).where("not _survives").select("_row", "_id", *cols[3:], F.lit(None).cast("binary").alias("_full"), F.lit(None).cast("long").alias("_size"), F.col("_id").alias("_keep"), F.col("_row").alias("_stays"))
+    single = marked(rows.select(*cols), keys, pieces).where("not _survives").select("_row", "_id", *cols[3:], F.lit(None).cast("binary").alias("_full"), F.lit(None).cast("long").alias("_size"), F.col("_id").alias("_keep"), F.col("_row").alias("_stays"))
     out = copies.unionByName(single)
     lone = F.col("_size").isNull()
     return out.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramma.llm.common import documents, dropped, fresh, join_spread, keep_rows, row_keyed, small_batches, staged, text_of
+from engramma.llm.exact_dedup import bitmap_of, marked
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -357,8 +358,8 @@ def components(links: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("_a").alias("_id"), F.col("_a").alias("_label")).distinct())
 
 
-def near_links(reps: DataFrame, codes: DataFrame, similarity: float, block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
-    """Links (_a, _b) between the representatives (_node, _sketch) of different texts, whose words ``codes`` holds.
+def near_links(reps: DataFrame, codes: DataFrame, total: int, similarity: float, block: int = BLOCK, shingle: int = SHINGLE) -> DataFrame:
+    """Links (_a, _b) between the representatives (_node, _sketch) of different texts, whose words ``codes`` (``total`` rows) holds.
 
     A bucket is the set of texts that share a sketch. Each text goes once to the block of the
     least node of each of its buckets, its pivot, so a block holds whole buckets. First, a block falls into parts of about
@@ -401,7 +402,12 @@ def near_links(reps: DataFrame, codes: DataFrame, similarity: float, block: int
         return pd.DataFrame({"_a": [nodes[i] for i, _ in pairs], "_b": [nodes[j] for _, j in pairs]}, dtype="int64")
 
     def spelled(tasks: DataFrame) -> DataFrame:
-        return codes.join(tasks.hint("shuffle_hash"), "_node")
+        """``tasks`` with the words of their texts. A bitmap picks those texts out where they lie, so that the words of others are not dealt."""
+        row = F.struct(F.shiftright("_node", 33).alias("file"), F.col("_node").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).alias("_row")
+        keys = tasks.select(row)
+        pieces = bitmap_of(keys, total)
+        wanted = codes if pieces is None else marked(codes.select(row, "_node", "_codes"), keys, pieces).where("_survives").select("_node", "_codes")
+        return wanted.join(tasks.hint("shuffle_hash"), "_node")
 
     schema = "_a long, _b long, _pivot long, _part int, _parts int"
     one = staged(spelled(dealt).groupBy("_pivot", "_part").applyInPandas(first, schema), "first")
@@ -416,7 +422,7 @@ def near_links(reps: DataFrame, codes: DataFrame, similarity: float, block: int
     split = dealt.where("_parts > 1")
     asked = join_spread(split, per_block, "_pivot", "_loose", split.count(), "_node").where("_loose is not null")
     asked = asked.select("_pivot", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_chunk"), "_node", "_part", F.lit(False).alias("_asks"))
-    two = spelled(asking.unionByName(asked)).groupBy("_pivot", "_part", "_chunk").applyInPandas(second, "_a long, _b long")
+    two = spelled(staged(asking.unionByName(asked), "asked")).groupBy("_pivot", "_part", "_chunk").applyInPandas(second, "_a long, _b long")
     return links.unionByName(two)
 
 
@@ -441,7 +447,7 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_node").alias("node")))
     classes = staged(signed.groupBy("_class").agg(first.alias("_first"), F.count("*").alias("_copies")).withColumn("_node", F.col("_first.node")), "classes")
     reps = staged(signed.select("_node", "_sketch").where("size(_sketch) > 0").join(classes.select("_node").hint("shuffle_hash"), "_node"), "reps")
-    labels = components(near_links(reps, signed.select("_node", "_codes"), similarity, block, shingle))
+    labels = components(near_links(reps, signed.select("_node", "_codes"), total, similarity, block, shingle))
     found = staged(classes.join(labels.withColumnRenamed("_id", "_node"), "_node", "left").withColumn("_label", F.coalesce("_label", "_node")), "labels")
     groups = found.groupBy("_label").agg(F.sum("_copies").alias("_all"), F.min("_first").alias("_best"), F.count("*").alias("_n"))
     found = join_spread(found, groups, "_label", "_n", found.count(), "_node")

@@ -466,6 +466,26 @@ def test_near_dedup_brute_force(docs, texts, block):
     assert {i: (r["group_id"], r["group_size"], r["kept"]) for i, r in got.items()} == {i: (root(i), sizes[root(i)], root(i) == i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("block", [384, 2])
+def test_words_of_texts_without_a_likeness_are_not_dealt(spark, tmp_path, block):
+    rng = random.Random(8)
+    lone = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(10_000)) for _ in range(150)]
+    base = [f"v{rng.randrange(1 << 30)}" for _ in range(60)]
+    near = [" ".join([*base[:i], "x", *base[i + 1 :]]) for i in range(6)]
+    spark.createDataFrame(list(enumerate(lone + near)), "doc_id long, text string").repartition(6).write.parquet(f"{tmp_path}/docs")
+
+    def dealt():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty()
+        time.sleep(0.5)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+    docs, before = spark.read.parquet(f"{tmp_path}/docs"), dealt()
+    got = {r["doc_id"]: r["group_id"] for r in near_dedup.near_dedup(docs, block=block).collect()}
+    assert dealt() - before < 1_000_000  # the words of the 150 are 6 MB
+    assert got == {i: min(i, 150) for i in range(156)}
+
+
 def test_alignment_distances():
     rng = random.Random(0)
     for _ in range(600):
