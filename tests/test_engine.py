@@ -1,11 +1,14 @@
 """Golden values, properties and corruption tests of the memory engine."""
 
 import io
+import itertools
 import json
 import os
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +19,7 @@ from engramma.functions import codec, ids, scores
 from engramma.functions.symbols import normalise
 from engramma.operators import cues, episodes, feedback, recall
 from engramma.plans import registry as plans
-from engramma.sources.stage import numbered
+from engramma.sources.stage import numbered, staged
 from engramma.sources.store import SCHEMAS, MemoryStore
 from engramma.streaming import feedback as streaming
 from engramma.streaming.feedback import stream_traces
@@ -400,6 +403,21 @@ def test_pairs_of_parts_are_neither_dealt_nor_summed(spark, tmp_path):
     assert not any("tgt" in line for line in plan.toString().split("\n") if "Aggregate" in line)
 
 
+def test_pairs_come_in_blocks_and_runs(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(recall, "BLOCK", 16)
+    index = staged(cues.episode_cues(spark.createDataFrame([(s, "kind", str(s * 7919 % 5)) for s in range(400)], "seq long, key string, value string")), "cues")
+    pairs = recall.structural_pairs(index, cues.cue_counts(index), spark.range(0, 400, 2).select(F.col("id").alias("src")))
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    files = [pq.read_table(f).to_pylist() for f in sorted(tmp_path.glob("pairs/part-*.parquet"))]
+    assert sum(map(len, files)) == 200 * 399
+    assert max(len(list(rows)) for f in files for _, rows in itertools.groupby(f, key=lambda r: r["src"])) <= 16
+    for column in ("src", "ppm"):
+        assert sum(len(list(itertools.groupby(f, key=lambda r: r[column]))) for f in files) < 200 * 399 / 8
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"[+:]- Generate inline\(transform", plan)
+
+
 def test_streamed_traces(spark, tmp_path):
     rng = random.Random(1)
     rows = [(e, rng.randrange(3), 5, rng.randrange(2)) for e in range(120)]
